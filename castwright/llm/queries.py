@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from castwright.llm.sentences import all_sentences
 from castwright.llm.turns import speaker_turns
 from castwright.session import table
 
@@ -33,3 +34,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p5_turns")
 def p5_turns(spark: SparkSession, d: str) -> DataFrame:
     return speaker_turns(table(spark, d, "segments"), table(spark, d, "transcripts"), table(spark, d, "struct_out"))
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    found = all_sentences(table(spark, d, "transcripts"), table(spark, d, "output_docs"), table(spark, d, "documents"))
+    return found.select("episode_id", "text_field", "end_pos").distinct()
