@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from castwright.llm.lookalike import equal_looking_quotes
 from castwright.llm.sentences import all_sentences
 from castwright.llm.turns import speaker_turns
 from castwright.session import table
@@ -40,3 +41,8 @@ def p5_turns(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     found = all_sentences(table(spark, d, "transcripts"), table(spark, d, "output_docs"), table(spark, d, "documents"))
     return found.select("episode_id", "text_field", "end_pos").distinct()
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return equal_looking_quotes(table(spark, d, "output_docs")).select("episode_id", "kp_no")
