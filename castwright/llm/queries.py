@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from castwright.llm.leakage import leaked_items
 from castwright.llm.lookalike import equal_looking_quotes
 from castwright.llm.sentences import all_sentences
 from castwright.llm.turns import speaker_turns
@@ -46,3 +47,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p6_found")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return equal_looking_quotes(table(spark, d, "output_docs")).select("episode_id", "kp_no")
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
