@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from castwright.llm.abuse import score_documents, source_rates, train
 from castwright.llm.leakage import leaked_items
 from castwright.llm.lookalike import equal_looking_quotes
 from castwright.llm.sentences import all_sentences
@@ -52,3 +53,23 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p8_found")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return score_documents(documents, train(documents, table(spark, d, "doc_labels")))
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where("abusive").select("doc_id").distinct()
+
+
+@query("p9_scores")
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d)
+
+
+@query("p9_rates")
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return source_rates(_scored(spark, d))
