@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from castwright.llm.abuse import score_documents, source_rates, train
 from castwright.llm.leakage import leaked_items
 from castwright.llm.lookalike import equal_looking_quotes
+from castwright.llm.names import link_names, name_pairs
+from castwright.llm.packing import pack_documents, packing_report
 from castwright.llm.sentences import all_sentences
 from castwright.llm.turns import speaker_turns
 from castwright.session import table
@@ -73,3 +75,18 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
 @query("p9_rates")
 def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return source_rates(_scored(spark, d))
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return name_pairs(link_names(table(spark, d, "roster"), table(spark, d, "episodes")))
+
+
+@query("p7_packed")
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return pack_documents(table(spark, d, "documents"))
+
+
+@query("p7_report")
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing_report(pack_documents(table(spark, d, "documents")))
