@@ -174,9 +174,12 @@ def fits(sort: str, short: list[str], full: list[str]) -> bool:
     return full[1][:1] == last and like(first, full[0]) or full[0][:1] == last and like(first, full[1])
 
 
-@F.pandas_udf(SCHEMA)
-def _read(names: pd.Series, orgs: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_name(n, bool(o)) for n, o in zip(names, orgs)], columns=["sort", "level", "tokens", "keys"])
+def _reader():
+    @F.pandas_udf(SCHEMA)
+    def read(names: pd.Series, orgs: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_name(n, bool(o)) for n, o in zip(names, orgs)], columns=["sort", "level", "tokens", "keys"])
+
+    return read
 
 
 def _judge(check):
@@ -214,7 +217,7 @@ def link_names(roster: DataFrame, episodes: DataFrame, common: int = 200) -> Dat
     typed = roster.where("typed_name is not null and episode_id is not null").select("episode_id", F.coalesce("origin", F.lit("")).alias("origin"), F.coalesce(F.col("cast_role") == "机构", F.lit(False)).alias("org"), F.col("typed_name").alias("name"))
     seen = cut(typed.join(where, "episode_id").select("podcast_name", "name", "org", "episode_id", "origin").distinct())
     names = seen.groupBy("podcast_name", "name").agg(F.max("org").alias("org"))
-    forms = cut(names.withColumn("f", _read("name", "org")).select("podcast_name", "name", "f.*"))
+    forms = cut(names.withColumn("f", _reader()("name", "org")).select("podcast_name", "name", "f.*"))
 
     full = forms.where("level = 3")
     initials = F.array_join(F.array_sort(F.transform("tokens", lambda t: F.substring(t, 1, 1))), "")
