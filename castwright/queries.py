@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from castwright.functions import anchors, numbers, text
 from castwright.functions.labels import NARROW, NUMBERED, WIDE
+from castwright.operators import aggregates, chunks, clusters, islands, joins, speakers
 from castwright.operators.intervals import merge_intervals
 from castwright.operators.runs import collapse_runs
+from castwright.plans import cache, documents
 from castwright.session import table
+from castwright.sources import pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,3 +76,457 @@ union all select episode_id, 'gap', from_ms, to_ms from g where from_ms is not n
 @query("p4_found", _PERIODS_SQL)
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return merge_intervals(table(spark, d, "segments"))
+
+
+# --- Joins -------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "j1_overlap_speaker",
+    """
+    with s as (select episode_id, seg_no, min(struct_pack(a := start_ms, b := end_ms)) as t from segments group by 1, 2),
+    g as (select episode_id, seg_no, t.a as s, t.b as e from s),
+    d as (select distinct episode_id, coalesce(speaker, 'UNKNOWN') as speaker, start_ms, end_ms from diar_segments where start_ms is not null and end_ms > start_ms),
+    m as (select g.episode_id, seg_no, speaker, least(e, end_ms) - greatest(s, start_ms) as o, start_ms, end_ms
+          from g join d on g.episode_id = d.episode_id and s < end_ms and start_ms < e where e > s),
+    r as (select *, row_number() over (partition by episode_id, seg_no order by o desc, start_ms, end_ms, speaker) as rn from m)
+    select g.episode_id, g.seg_no, coalesce(r.speaker, 'UNKNOWN') as speaker, coalesce(r.o, 0) as overlap_ms
+    from g left join r on g.episode_id = r.episode_id and g.seg_no = r.seg_no and rn = 1
+    """,
+)
+def j1_overlap_speaker(spark: SparkSession, d: str) -> DataFrame:
+    return joins.overlap_speaker(table(spark, d, "segments"), table(spark, d, "diar_segments"))
+
+
+@query(
+    "j2_points_in_intervals",
+    """
+    with p as (select distinct episode_id, start_ms as at_ms from diar_segments where start_ms is not null),
+    s as (select distinct episode_id, seg_no, start_ms, end_ms from segments where start_ms is not null and end_ms > start_ms)
+    select p.episode_id, seg_no, count(*) as n_points, min(at_ms) as first_ms from p join s on p.episode_id = s.episode_id and start_ms <= at_ms and at_ms < end_ms group by 1, 2
+    """,
+)
+def j2_points_in_intervals(spark: SparkSession, d: str) -> DataFrame:
+    points = table(spark, d, "diar_segments").select("episode_id", F.col("start_ms").alias("at_ms")).distinct()
+    seg = table(spark, d, "segments").select("episode_id", "seg_no", "start_ms", "end_ms").distinct()
+    return joins.points_in_intervals(points, seg).groupBy("episode_id", "seg_no").agg(F.count(F.lit(1)).alias("n_points"), F.min("at_ms").alias("first_ms"))
+
+
+@query(
+    "j3_lookup_with_fallback",
+    """
+    with m as (select episode_id, map_keys(speaker_mapping) as k, map_values(speaker_mapping) as v, run_no from struct_out),
+    e as (select episode_id, unnest(k) as speaker, unnest(v) as name, run_no from m),
+    f as (select episode_id, speaker, arg_min(name, run_no) as name from (select distinct * from e) group by 1, 2)
+    select s.episode_id, s.seg_no, coalesce(f.name, s.speaker, '') as shown from (select distinct episode_id, seg_no, speaker from segments) s left join f on s.episode_id = f.episode_id and s.speaker = f.speaker
+    """,
+)
+def j3_lookup_with_fallback(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "struct_out").select("episode_id", "run_no", F.explode("speaker_mapping").alias("speaker", "name")).distinct().groupBy("episode_id", "speaker").agg(F.min_by("name", "run_no").alias("name"))
+    seg = table(spark, d, "segments").select("episode_id", "seg_no", "speaker").distinct()
+    return seg.join(names, ["episode_id", "speaker"], "left").select("episode_id", "seg_no", F.coalesce("name", "speaker", F.lit("")).alias("shown"))
+
+
+@query(
+    "j15_pending_episodes",
+    "select distinct e.episode_id, url from episodes e where not exists (select 1 from output_docs o where o.episode_id = e.episode_id)",
+)
+def j15_pending_episodes(spark: SparkSession, d: str) -> DataFrame:
+    return cache.pending(table(spark, d, "episodes").select("episode_id", "url").distinct(), table(spark, d, "output_docs"), "episode_id")
+
+
+@query(
+    "j13_packages_and_documents",
+    """
+    select t.episode_id, o.episode_id is not null as has_document, s.episode_id is not null as has_run
+    from (select distinct episode_id from transcripts) t left join (select distinct episode_id from output_docs) o on t.episode_id = o.episode_id
+    left join (select distinct episode_id from struct_out) s on t.episode_id = s.episode_id
+    """,
+)
+def j13_packages_and_documents(spark: SparkSession, d: str) -> DataFrame:
+    ids = lambda t, c: table(spark, d, t).select("episode_id").distinct().withColumn(c, F.lit(True))
+    return ids("transcripts", "x").join(ids("output_docs", "o"), "episode_id", "left").join(ids("struct_out", "s"), "episode_id", "left").select("episode_id", F.coalesce("o", F.lit(False)).alias("has_document"), F.coalesce("s", F.lit(False)).alias("has_run"))
+
+
+@query(
+    "u4_unnamed_speakers",
+    """
+    select distinct episode_id, speaker from segments where speaker is not null
+    except select episode_id, k as speaker from (select episode_id, unnest(map_keys(speaker_mapping)) as k from struct_out)
+    """,
+)
+def u4_unnamed_speakers(spark: SparkSession, d: str) -> DataFrame:
+    named = table(spark, d, "struct_out").select("episode_id", F.explode(F.map_keys("speaker_mapping")).alias("speaker"))
+    return table(spark, d, "segments").where("speaker is not null").select("episode_id", "speaker").distinct().subtract(named)
+
+
+# --- Aggregates --------------------------------------------------------------------------------------------------
+
+
+@query("a1_speaker_counts", "select episode_id, coalesce(nullif(speaker, ''), 'UNKNOWN') as speaker, count(*) as n from segments group by 1, 2")
+def a1_speaker_counts(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.speaker_counts(table(spark, d, "segments"))
+
+
+@query(
+    "a2_collapsed_clusters",
+    """
+    with c as (select episode_id, coalesce(nullif(speaker, ''), 'UNKNOWN') as speaker, count(*) as n from segments group by 1, 2),
+    p as (select episode_id, cast(sum(n) as bigint) as total, count(*) as n_clusters, min(struct_pack(m := -n, s := speaker)) as t from c group by 1)
+    select episode_id, total, n_clusters, t.s as top, -t.m as top_n,
+      case when total >= 50 then list_filter([case when n_clusters = 1 and total >= 200 then 'single' end, case when n_clusters > 1 and -t.m >= 300 and -t.m >= 0.95 * total then 'taken' end, case when n_clusters + 1 < 3 then 'fewer' end], lambda x: x is not null) else [] end as reasons
+    from p
+    """,
+)
+def a2_collapsed_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.collapsed_clusters(table(spark, d, "segments"), F.lit(3))
+
+
+@query(
+    "a5_speaker_preview",
+    """
+    select episode_id, coalesce(speaker, 'UNKNOWN') as speaker, count(*) as n, cast(sum(length(trim(coalesce(text, '')))) as bigint) as n_chars,
+      arg_min(trim(text), seg_no) filter (where trim(coalesce(text, '')) <> '') as first_text
+    from (select distinct episode_id, seg_no, speaker, text from segments) group by 1, 2
+    """,
+)
+def a5_speaker_preview(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.speaker_preview(table(spark, d, "segments").select("episode_id", "seg_no", "speaker", "text").distinct())
+
+
+@query(
+    "a6_representative_clips",
+    """
+    with t as (select distinct episode_id, speaker, seg_no, end_ms - start_ms as ms from segments where speaker is not null and end_ms > start_ms),
+    f as (select episode_id, speaker, arg_min(ms, seg_no) as first_ms, bool_or(ms between 3000 and 30000) as fit from t group by 1, 2),
+    r as (select t.*, row_number() over (partition by t.episode_id, t.speaker order by case when ms between 3000 and 30000 then 0 when (ms < 3000) = (first_ms < 3000) then 1 else 2 end,
+                 case when ms > 30000 then ms else -ms end, seg_no) as rn from t join f on t.episode_id = f.episode_id and t.speaker = f.speaker)
+    select episode_id, speaker, seg_no, ms from r where rn = 1
+    """,
+)
+def a6_representative_clips(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.representative_clips(table(spark, d, "segments"))
+
+
+_COS = "list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) / (a.n * b.n)"
+_VEC_SQL = "u as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v, sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))) as n from embeddings)"
+
+
+@query("a12_pairwise_percentile", f"with {_VEC_SQL} select a.label, count(*) as n, round(quantile_cont(greatest({_COS}, 0), 0.1), 6) as p from u a join u b on a.label = b.label and a.vec_id < b.vec_id group by 1")
+def a12_pairwise_percentile(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.pairwise_percentile(table(spark, d, "embeddings")).select("label", "n", F.round("p", 6).alias("p"))
+
+
+@query(
+    "a13_silhouette",
+    f"""with {_VEC_SQL}, m as (select a.vec_id, a.label as own, b.label as lab, avg(1 - {_COS}) as dist from u a join u b on a.vec_id <> b.vec_id group by 1, 2, 3),
+    s as (select vec_id, max(case when own = lab then dist end) as a, min(case when own <> lab then dist end) as b from m group by 1)
+    select count(*) as n, round(avg(case when greatest(a, b) = 0 then 0 else (b - a) / greatest(a, b) end), 6) as silhouette from s where a is not null and b is not null""",
+)
+def a13_silhouette(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.silhouette(table(spark, d, "embeddings")).select("n", F.round("silhouette", 6).alias("silhouette"))
+
+
+@query("a15_centrality", f"with {_VEC_SQL} select a.vec_id, any_value(a.label) as label, round(avg({_COS}), 6) as centrality from u a join u b on a.label = b.label and a.vec_id <> b.vec_id group by 1")
+def a15_centrality(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.mean_similarity(table(spark, d, "embeddings")).select("vec_id", "label", F.round("centrality", 6).alias("centrality"))
+
+
+@query("a19_costs", "select episode_id, cast(count(*) as bigint) as n, round(sum(coalesce(cost_yuan, 0)), 6) as yuan, bool_or(cost_yuan is null) as unknown from (select distinct episode_id, cost_yuan, duration_sec from transcripts) group by 1")
+def a19_costs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "transcripts").select("episode_id", "cost_yuan", "duration_sec").distinct().groupBy("episode_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.coalesce("cost_yuan", F.lit(0.0))), 6).alias("yuan"), F.bool_or(F.col("cost_yuan").isNull()).alias("unknown"))
+
+
+@query("m3_greedy_voices")
+def m3_greedy_voices(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.align_voices(table(spark, d, "embeddings"), strict=False)
+
+
+@query("m4_medoid_voices")
+def m4_medoid_voices(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.align_voices(table(spark, d, "embeddings"), k=2, strict=False)
+
+
+# --- Ordered sequences -------------------------------------------------------------------------------------------
+
+_ONCE = "o as (select distinct episode_id, seg_no, coalesce(speaker, '') as key, coalesce(start_ms, 0) as start_ms, coalesce(end_ms, 0) as end_ms, coalesce(text, '') as text from segments)"
+
+
+def _islands_sql(gap: str) -> str:
+    return f"""with {_ONCE}, l as (select *, lag(key) over w as k0, lag(end_ms) over w as e0 from o window w as (partition by episode_id order by seg_no)),
+    i as (select *, sum(case when key = k0{gap} then 0 else 1 end) over (partition by episode_id order by seg_no) as island from l)
+    select episode_id, min(key) as key, cast(min(seg_no) as bigint) as first_no, cast(max(seg_no) as bigint) as last_no, count(*) as n, arg_min(start_ms, seg_no) as start_ms, arg_max(end_ms, seg_no) as end_ms,
+      coalesce(string_agg(text, '{{}}' order by seg_no) filter (where text <> ''), '') as text from i group by episode_id, island"""
+
+
+def _for_islands(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "segments").select("episode_id", F.col("seg_no").alias("no"), F.col("speaker").alias("key"), "start_ms", "end_ms", "text").distinct()
+
+
+@query("w1_merge_within_gap", _islands_sql(" and start_ms - e0 <= 200").replace("{}", " "))
+def w1_merge_within_gap(spark: SparkSession, d: str) -> DataFrame:
+    return islands.merge_neighbours(_for_islands(spark, d))
+
+
+@query("w4_merge_labels", _islands_sql("").replace("{}", ""))
+def w4_merge_labels(spark: SparkSession, d: str) -> DataFrame:
+    return islands.merge_neighbours(_for_islands(spark, d), gap_ms=None, separator="")
+
+
+@query(
+    "a8_longest_run",
+    f"""with r as ({_islands_sql("").replace("{}", "")}) select episode_id, key, max(n) as longest, count(*) as n_runs from r group by 1, 2""",
+)
+def a8_longest_run(spark: SparkSession, d: str) -> DataFrame:
+    return islands.merge_neighbours(_for_islands(spark, d), gap_ms=None, separator="").groupBy("episode_id", "key").agg(F.max("n").alias("longest"), F.count(F.lit(1)).alias("n_runs"))
+
+
+@query("w9_packed_lines")
+def w9_packed_lines(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "transcripts").select("episode_id", F.posexplode(chunks.pack_lines(F.col("raw_text"), 2000)).alias("chunk_no", "text"))
+
+
+@query("w8_chunk_context")
+def w8_chunk_context(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.chunk_context(w9_packed_lines(spark, d).distinct().withColumnRenamed("episode_id", "doc"))
+
+
+@query("w10_folded_sentences")
+def w10_folded_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "output_docs").select("episode_id", F.posexplode(chunks.fold_sentences(text.split_sentences(F.col("full_text")))).alias("line_no", "text"))
+
+
+@query(
+    "w14_uniform_sample",
+    """
+    with o as (select distinct podcast_name, episode_id from episodes), n as (select *, row_number() over (partition by podcast_name order by episode_id) - 1 as i, count(*) over (partition by podcast_name) as n from o),
+    k as (select *, greatest(1, cast(floor(n * 0.25) as bigint)) as k from n)
+    select podcast_name, episode_id from k where list_contains(list_transform(range(0, k), lambda j: j * n // k), i)
+    """,
+)
+def w14_uniform_sample(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.uniform_sample(table(spark, d, "episodes").select("podcast_name", "episode_id").distinct(), "podcast_name", "episode_id", 0.25)
+
+
+# --- Text rules --------------------------------------------------------------------------------------------------
+
+_HAN, _FULL = "一-鿿", "，。！？、；："
+
+
+@query("n0_quotes", """select episode_id, regexp_replace(translate(full_text, '“”', '""'), '"([^"]*)"', '「\\1」', 'g') as t from output_docs""")
+def n0_quotes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "output_docs").select("episode_id", text.quotes_to_corners(F.col("full_text")).alias("t"))
+
+
+@query("n6_merge_repeats")
+def n6_merge_repeats(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "transcripts").select("episode_id", text.merge_repeats(F.col("raw_text")).alias("t"))
+
+
+@query("n9_end_turns", "select episode_id, regexp_replace(full_text, '(?m)^(【[^】\\n]*】.*)[，,]([ \\t\\r\\f\\v]*)$', '\\1。\\2', 'g') as t from output_docs")
+def n9_end_turns(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "output_docs").select("episode_id", text.end_turns(F.col("full_text")).alias("t"))
+
+
+@query("n11_clean_documents")
+def n11_clean_documents(spark: SparkSession, d: str) -> DataFrame:
+    parts = documents.sections(documents.render_markdown(table(spark, d, "output_docs")))
+    return parts.select("episode_id", "sec_no", "heading", text.clean_block(F.col("body"), F.concat(F.lit("## "), F.col("heading"))).alias("body"))
+
+
+@query("n12_count_marks")
+def n12_count_marks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "transcripts").select("episode_id", text.count_marks(F.col("raw_text")).alias("n"))
+
+
+@query("n16_strip_tags", "select episode_id, seg_no, trim(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>|〈[^〉]*〉', '', 'g'), '\\s+', ' ', 'g')) as t from segments")
+def n16_strip_tags(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "segments").select("episode_id", "seg_no", text.strip_tags(F.col("text")).alias("t"))
+
+
+_LABEL_SQL = "trim(split_part(regexp_replace(regexp_replace(trim(coalesce(typed_name, '')), '^(主持人|主理人|主播|主持|主理|嘉宾|客座)[：:\\s]*', ''), '[（(][^（）()]*[）)]', '', 'g'), '·', 1))"
+
+
+@query("n19_display_labels", f"select episode_id, origin, ord, case when {_LABEL_SQL} = '' then '' else '【' || {_LABEL_SQL} || '】' end as label from roster")
+def n19_display_labels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "roster").select("episode_id", "origin", "ord", text.display_label(F.col("typed_name")).alias("label"))
+
+
+_SAFE = "regexp_replace(trim(translate({c}, '\\/:*?\"<>|', '_________')), '\\.+$', '')"
+
+
+@query(
+    "n20_stems",
+    f"""with s as (select episode_id, left({_SAFE.format(c="podcast_name")}, 40) as p, left({_SAFE.format(c="title")}, 100) as t from episodes)
+    select episode_id, case when coalesce(p, '') = '' and coalesce(t, '') = '' then 'podcast' else left(concat_ws('-', nullif(p, ''), nullif(t, '')), 160) end as stem from s""",
+)
+def n20_stems(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "episodes").select("episode_id", text.episode_stem(F.col("podcast_name"), F.col("title")).alias("stem"))
+
+
+@query("n_bare_text", "select episode_id, length(regexp_replace(full_text, '【[^】]*】|\\[SPEAKER_\\d+\\]|[\\s\\p{Z}]+', '', 'g')) as n from output_docs")
+def n_bare_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "output_docs").select("episode_id", F.length(text.strip_labels(F.col("full_text"))).alias("n"))
+
+
+_CLOCK = "cast(round_even(end_ms / 1000.0, 0) as bigint)"
+
+
+@query("d5_clock", f"select episode_id, seg_no, case when end_ms is null then '??:??' when {_CLOCK} >= 3600 then printf('%d:%02d:%02d', {_CLOCK} // 3600, {_CLOCK} % 3600 // 60, {_CLOCK} % 60) else printf('%02d:%02d', {_CLOCK} // 60, {_CLOCK} % 60) end as t from segments where coalesce(end_ms, 0) >= 0")
+def d5_clock(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "segments").where("coalesce(end_ms, 0) >= 0").select("episode_id", "seg_no", numbers.clock(F.col("end_ms") / 1000.0).alias("t"))
+
+
+@query("d6_minutes", "select distinct episode_id, cast(floor(trunc(duration_sec) / 60) as bigint) || '分' || cast(trunc(duration_sec) as bigint) % 60 || '秒' as t from transcripts")
+def d6_minutes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "transcripts").select("episode_id", numbers.minutes_seconds(F.col("duration_sec")).alias("t")).distinct()
+
+
+@query(
+    "d4_publication_day",
+    """select distinct episode_id, pub_date, case when regexp_matches(pub_date, '^\\d{4}-\\d{2}-\\d{2}T[\\d:.]+(Z|[+-]\\d{2}:?\\d{2})$') then strftime(cast(pub_date as timestamptz) at time zone 'Asia/Shanghai', '%Y-%m-%d')
+    when regexp_matches(pub_date, '^\\d{4}[-/.年]\\d{1,2}[-/.月]\\d{1,2}') then regexp_extract(pub_date, '^(\\d{4})', 1) || '-' || lpad(regexp_extract(pub_date, '^\\d{4}[-/.年](\\d{1,2})', 1), 2, '0') || '-' || lpad(regexp_extract(pub_date, '^\\d{4}[-/.年]\\d{1,2}[-/.月](\\d{1,2})', 1), 2, '0')
+    else left(pub_date, 10) end as day from episodes""",
+)
+def d4_publication_day(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "episodes").select("episode_id", "pub_date", numbers.publication_day(F.col("pub_date")).alias("day")).distinct()
+
+
+@query("d7_start_seconds")
+def d7_start_seconds(spark: SparkSession, d: str) -> DataFrame:
+    marks = F.explode(F.regexp_extract_all("show_notes", F.lit(r"(?m)^(\d{1,3}:\d{2}(?::\d{2})?)\s"), F.lit(1))).alias("mark")
+    return table(spark, d, "episodes").select("episode_id", marks).select("episode_id", "mark", numbers.start_seconds(F.col("mark")).alias("seconds"))
+
+
+# --- Sources -----------------------------------------------------------------------------------------------------
+
+
+@query(
+    "s3_page_fields",
+    """select distinct episode_id, nullif(regexp_extract(url, '/episode/([0-9a-zA-Z]+)', 1), '') as page_id, coalesce(regexp_matches(audio_url, '(?i)\\.(mp3|m4a|wav|ogg)'), false) as is_audio,
+    case when regexp_extract(split_part(split_part(coalesce(audio_url, ''), '?', 1), '#', 1), '(?i)(\\.(mp3|m4a|wav|ogg|aac|flac))$', 1) = '' then '.mp3' else lower(regexp_extract(split_part(split_part(coalesce(audio_url, ''), '?', 1), '#', 1), '(?i)(\\.(mp3|m4a|wav|ogg|aac|flac))$', 1)) end as extension from episodes""",
+)
+def s3_page_fields(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "episodes")
+    return e.select("episode_id", pages.episode_id_of(F.col("url")).alias("page_id"), pages.looks_like_audio(F.col("audio_url")).alias("is_audio"), pages.audio_extension(F.col("audio_url")).alias("extension")).distinct()
+
+
+@query(
+    "x7_rosters",
+    "select episode_id, cast(count(*) as bigint) as n_rows, cast(sum(case when regexp_matches(coalesce(show_notes, ''), '(?m)^\\s*【?(主播|嘉宾|主持|主理|客座)(人|简介)?】?\\s*[:：\\s]') then 1 else 0 end) as bigint) as with_roster from episodes group by 1",
+)
+def x7_rosters(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "episodes").groupBy("episode_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.coalesce("show_notes", F.lit("")).rlike(rf"(?m)^\s*【?(?:{speakers.ROLE_WORDS})(?:人|简介)?】?\s*[:：\s]")).alias("with_roster"))
+
+
+@query("x7_roster_names")
+def x7_roster_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "episodes").select("episode_id", F.explode(speakers.roster_of(F.col("show_notes"))).alias("r")).select("episode_id", "r.role", "r.name").distinct()
+
+
+@query("r12_resolved_speakers")
+def r12_resolved_speakers(spark: SparkSession, d: str) -> DataFrame:
+    return speakers.resolve_speakers(speakers.cluster_signals(table(spark, d, "segments")), x7_roster_names(spark, d))
+
+
+# --- Documents ---------------------------------------------------------------------------------------------------
+
+
+@query("k1_markdown")
+def k1_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return documents.render_markdown(table(spark, d, "output_docs"))
+
+
+@query("sections")
+def section_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return documents.section_map(documents.sections(k1_markdown(spark, d)))
+
+
+@query("v_checks")
+def v_checks(spark: SparkSession, d: str) -> DataFrame:
+    return documents.check_documents(k1_markdown(spark, d))
+
+
+@query("bullets")
+def bullet_lines(spark: SparkSession, d: str) -> DataFrame:
+    return documents.bullets(documents.sections(k1_markdown(spark, d)))
+
+
+_BLANK = "trim(coalesce({c}, '')) = ''"
+
+
+@query(
+    "v13_gate",
+    f"""select episode_id, list_filter([case when {_BLANK.format(c='title')} then 'title' end, case when {_BLANK.format(c='podcast_name')} then 'podcast' end, case when {_BLANK.format(c='pub_date')} then 'date' end,
+    case when {_BLANK.format(c='full_text')} then 'full_text' end, case when {_BLANK.format(c='summary')} then 'summary' end, case when len(coalesce(key_points, [])) = 0 then 'key_points' end,
+    case when len(list_filter(coalesce(key_points, []), lambda p: trim(coalesce(p.point, '')) = '')) > 0 then 'blank_point' end, 'questions', case when regexp_matches(coalesce(full_text, ''), '\\[SPEAKER_\\d+\\]') then 'labels' end], lambda x: x is not null) as blocking from output_docs""",
+)
+def v13_gate(spark: SparkSession, d: str) -> DataFrame:
+    kind = "array<struct<question:string,answer:string,anchor:string>>"
+    return documents.gate(table(spark, d, "output_docs").withColumn("questions", F.array().cast(kind)))
+
+
+@query(
+    "x1_tidy_payloads",
+    """select episode_id, run_no, list_filter(list_transform(coalesce(keywords, []), lambda k: {'keyword': trim(coalesce(k.keyword, '')), 'descr': trim(coalesce(k.descr, ''))}), lambda k: k.keyword <> '')[:10] as keywords,
+    list_filter(list_transform(coalesce(questions, []), lambda q: {'question': trim(coalesce(q.question, '')), 'answer': trim(coalesce(q.answer, '')), 'anchor': trim(coalesce(q.anchor, ''))}), lambda q: q.question <> '')[:5] as questions,
+    trim(coalesce(summary, '')) as summary from struct_out""",
+)
+def x1_tidy_payloads(spark: SparkSession, d: str) -> DataFrame:
+    return documents.tidy_payload(table(spark, d, "struct_out")).drop("speaker_mapping")
+
+
+@query("x1_parsed_payloads")
+def x1_parsed_payloads(spark: SparkSession, d: str) -> DataFrame:
+    raw = table(spark, d, "output_docs").select("episode_id", F.to_json(F.struct("summary", "key_points", "keywords")).alias("raw"))
+    return documents.parse_payload(raw, "episode_id", "raw")
+
+
+@query("g3_terms")
+def g3_terms(spark: SparkSession, d: str) -> DataFrame:
+    return documents.classify_terms(table(spark, d, "output_docs"))
+
+
+@query("r3_questions", "select episode_id, run_no, list_transform(coalesce(questions, []), lambda q, i: i || '. **' || trim(regexp_replace(trim(coalesce(q.question, '')), '^\\*\\*(.*)\\*\\*$', '\\1')) || '**' || case when trim(coalesce(q.answer, '')) = '' then '' else chr(10) || '   ' || trim(q.answer) end) as lines from struct_out where len(list_filter(coalesce(questions, []), lambda q: trim(coalesce(q.question, '')) = '')) = 0")
+def r3_questions(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "struct_out").where(~F.exists(F.coalesce("questions", F.array()), lambda q: F.trim(F.coalesce(q["question"], F.lit(""))) == ""))
+    return s.select("episode_id", "run_no", documents.question_lines(F.col("questions")).alias("lines"))
+
+
+@query("b3_anchors")
+def b3_anchors(spark: SparkSession, d: str) -> DataFrame:
+    quotes = table(spark, d, "output_docs").select("episode_id", "full_text", F.posexplode(F.transform("key_points", lambda k: k["quote"])).alias("kp_no", "quote"))
+    return quotes.select("episode_id", "kp_no", anchors.anchor(F.col("quote"), F.col("full_text")).alias("anchor"))
+
+
+@query("b6_bold_transcripts")
+def b6_bold_transcripts(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "output_docs")
+    marks = anchors.longest_first(F.filter(F.transform("key_points", lambda k: k["anchor"]), lambda a: F.length(a) <= 40))
+    return o.select("episode_id", anchors.bold(F.col("full_text"), marks).alias("t"))
+
+
+@query("k2_packages")
+def k2_packages(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "episodes").groupBy("episode_id").agg(F.max_by(F.struct("title", "podcast_name", "pub_date", "show_notes"), "scraped_at").alias("e")).select("episode_id", "e.*")
+    t = table(spark, d, "transcripts").select("episode_id", "raw_text").distinct()
+    source = F.concat_ws(" | ", "podcast_name", "title", "pub_date")
+    return e.join(t, "episode_id").select("episode_id", pages.package_text(F.coalesce("title", F.lit("")), source, F.col("show_notes"), F.coalesce("raw_text", F.lit(""))).alias("text"))
+
+
+@query("s15_packages_read")
+def s15_packages_read(spark: SparkSession, d: str) -> DataFrame:
+    return pages.parse_packages(k2_packages(spark, d), "episode_id").select("episode_id", "title", F.length("notes").alias("n_notes"), F.length("transcript").alias("n_transcript"))
+
+
+# --- Caches ------------------------------------------------------------------------------------------------------
+
+
+@query("x8_episode_keys", "select distinct episode_id, left(sha256(trim(coalesce(url, '') || '|' || coalesce(pub_date, '') || '|final', '|')), 16) as key from episodes")
+def x8_episode_keys(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "episodes").select("episode_id", cache.episode_key(F.col("url"), F.col("pub_date"), F.lit("final")).alias("key")).distinct()
+
+
+@query("t3_fingerprints", "select distinct episode_id, sha256(case when raw_text is null then '~' else length(raw_text) || ':' || raw_text end || '|' || case when layout is null then '~' else length(layout) || ':' || layout end) as fp from transcripts")
+def t3_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "transcripts").select("episode_id", cache.fingerprint(F.col("raw_text"), F.col("layout")).alias("fp")).distinct()
