@@ -274,7 +274,7 @@ def split_sentences(df: DataFrame, key: list[str], text: str | Column, chain: Ch
                     start.append(a)
                     end.append(b)
                     words.append(t[a:b])
-                if len(words) > 20_000 or i == len(batch) - 1:
+                if words and (len(words) > 20_000 or i == len(batch) - 1):
                     yield pd.DataFrame({**{k: [v[j] for j in which] for k, v in zip(key, keys)}, "start_pos": start, "end_pos": end, "sentence": words})
                     which, start, end, words = [], [], [], []
 
