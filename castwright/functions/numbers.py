@@ -100,7 +100,7 @@ def start_seconds(text: Column) -> Column:
     parts = F.split(F.trim(text), ":")
     whole = F.transform(parts, lambda p: p.try_cast("double"))
     value = F.when(F.trim(text).rlike(r"^\d+(:\d+){1,2}$"), F.aggregate(whole, F.lit(0.0), lambda a, x: a * 60 + x)).otherwise(F.trim(text).try_cast("double"))
-    return F.greatest(value, F.lit(0.0))
+    return F.when(value.isNotNull(), F.greatest(value, F.lit(0.0)))
 
 
 def stated_count(text: Column) -> Column:
