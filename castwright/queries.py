@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from castwright import oracles
 from castwright.functions import anchors, numbers, text
 from castwright.functions.labels import NARROW, NUMBERED, WIDE
 from castwright.operators import aggregates, chunks, clusters, islands, joins, speakers
@@ -392,7 +393,7 @@ def d4_publication_day(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "episodes").select("episode_id", "pub_date", numbers.publication_day(F.col("pub_date")).alias("day")).distinct()
 
 
-@query("d7_start_seconds")
+@query("d7_start_seconds", oracles.MARKS)
 def d7_start_seconds(spark: SparkSession, d: str) -> DataFrame:
     marks = F.explode(F.regexp_extract_all("show_notes", F.lit(r"(?m)^(\d{1,3}:\d{2}(?::\d{2})?)\s"), F.lit(1))).alias("mark")
     return table(spark, d, "episodes").select("episode_id", marks).select("episode_id", "mark", numbers.start_seconds(F.col("mark")).alias("seconds"))
@@ -432,22 +433,22 @@ def r12_resolved_speakers(spark: SparkSession, d: str) -> DataFrame:
 # --- Documents ---------------------------------------------------------------------------------------------------
 
 
-@query("k1_markdown")
+@query("k1_markdown", oracles.MARKDOWN)
 def k1_markdown(spark: SparkSession, d: str) -> DataFrame:
     return documents.render_markdown(table(spark, d, "output_docs"))
 
 
-@query("sections")
+@query("sections", oracles.SECTIONS)
 def section_bodies(spark: SparkSession, d: str) -> DataFrame:
     return documents.section_map(documents.sections(k1_markdown(spark, d)))
 
 
-@query("v_checks")
+@query("v_checks", oracles.CHECKS)
 def v_checks(spark: SparkSession, d: str) -> DataFrame:
     return documents.check_documents(k1_markdown(spark, d))
 
 
-@query("bullets")
+@query("bullets", oracles.BULLETS)
 def bullet_lines(spark: SparkSession, d: str) -> DataFrame:
     return documents.bullets(documents.sections(k1_markdown(spark, d)))
 
@@ -476,13 +477,13 @@ def x1_tidy_payloads(spark: SparkSession, d: str) -> DataFrame:
     return documents.tidy_payload(table(spark, d, "struct_out")).drop("speaker_mapping")
 
 
-@query("x1_parsed_payloads")
+@query("x1_parsed_payloads", oracles.PAYLOADS)
 def x1_parsed_payloads(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "output_docs").select("episode_id", F.to_json(F.struct("summary", "key_points", "keywords")).alias("raw"))
     return documents.parse_payload(raw, "episode_id", "raw")
 
 
-@query("g3_terms")
+@query("g3_terms", oracles.TERMS)
 def g3_terms(spark: SparkSession, d: str) -> DataFrame:
     return documents.classify_terms(table(spark, d, "output_docs"))
 
@@ -506,7 +507,7 @@ def b6_bold_transcripts(spark: SparkSession, d: str) -> DataFrame:
     return o.select("episode_id", anchors.bold(F.col("full_text"), marks).alias("t"))
 
 
-@query("k2_packages")
+@query("k2_packages", oracles.PACKAGES)
 def k2_packages(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "episodes").groupBy("episode_id").agg(F.max_by(F.struct("title", "podcast_name", "pub_date", "show_notes"), "scraped_at").alias("e")).select("episode_id", "e.*")
     t = table(spark, d, "transcripts").select("episode_id", "raw_text").distinct()
