@@ -49,30 +49,36 @@ def _links(gap_ms: int):
         for batch in batches:
             stretch, start = _stretch(batch), batch["start_ms"].to_numpy()
             before, upto = prefix_max(stretch, batch["end_ms"].to_numpy(), last, high)
-            pos = n + np.arange(len(batch))
             # LOW marks the first event of a stretch; comparing the difference would overflow there.
             follows = (before > LOW) & (start <= np.where(before > LOW, before, 0) + gap_ms)
-            yield pd.DataFrame({"pos": pos, "ptr": np.where(follows, pos - 1, pos), "event_no": batch["event_no"], "start_ms": start, "end_ms": batch["end_ms"], "entity": batch["entity"], "speaker": batch["speaker"]})
+            at = np.arange(len(batch))
+            ptr = np.where(follows, at - 1, at)
+            ptr[0] = 0
+            while (ptr[ptr] != ptr).any():  # pointer doubling within the batch, before anything is shuffled
+                ptr = ptr[ptr]
+            open_ = (ptr == 0) & follows[0]
+            ptr += n
+            if follows[0]:
+                ptr[0] -= 1
+            edge = open_.copy()
+            edge[-1] = True
+            yield pd.DataFrame({"pos": n + at, "ptr": ptr, "done": ~open_, "edge": edge, "event_no": batch["event_no"], "start_ms": start, "end_ms": batch["end_ms"], "entity": batch["entity"], "speaker": batch["speaker"]})
             n, last, high = n + len(batch), stretch[-1], int(upto[-1])
 
     return scan
 
 
 def run_heads(links: DataFrame) -> DataFrame:
-    """``pos, head``: for each event that follows another, the first event of its run, by pointer doubling.
+    """``pos, head``: the first event of the run of each event, by pointer doubling.
 
-    ``links`` has ``pos, ptr`` with ptr < pos for each such event. In each self-join an event takes over its
-    target's pointer, so the distance doubles; an event whose target follows nothing has arrived. Until then no two
-    events point at the same target, so no join key is hot. Only (pos, ptr, done) is shuffled.
+    ``links`` has ``pos, ptr, done`` of all events that aren't ``done`` and of all that these point at. In each
+    self-join an event takes over its target's pointer, so the distance doubles, until the target has arrived. No more
+    events point at one target than a batch has rows, so no join key is hot.
     """
-    at = cut(links.select("pos", "ptr", F.lit(False).alias("done")))
+    at = cut(links.select("pos", "ptr", "done"))
     while at.where("not done").limit(1).count():
         target = at.select(F.col("pos").alias("t_pos"), F.col("ptr").alias("t_ptr"), F.col("done").alias("t_done"))
-        moved = (
-            at.where("not done")
-            .join(target, F.col("ptr") == F.col("t_pos"), "left")
-            .select("pos", F.coalesce("t_ptr", "ptr").alias("ptr"), F.coalesce("t_done", F.lit(True)).alias("done"))
-        )
+        moved = at.where("not done").join(target, F.col("ptr") == F.col("t_pos")).select("pos", F.col("t_ptr").alias("ptr"), F.col("t_done").alias("done"))
         at = cut(moved.unionByName(at.where("done")))
     return at.select("pos", F.col("ptr").alias("head"))
 
@@ -100,13 +106,17 @@ def collapse_runs(df: DataFrame, entity: str = "episode_id", event_no: str = "ds
     events = cut(
         carried_scan(
             ordered, "n bigint, last string, high bigint, whole boolean", _summaries, _combine, (0, None, LOW),
-            "pos bigint, ptr bigint, event_no bigint, start_ms bigint, end_ms bigint, entity string, speaker string", _links(gap_ms),
+            "pos bigint, ptr bigint, done boolean, edge boolean, event_no bigint, start_ms bigint, end_ms bigint, entity string, speaker string", _links(gap_ms),
         )
     )
-    heads = run_heads(events.where("ptr < pos"))
+    # Events whose run starts in their own batch have arrived; only the others and their targets are joined.
+    heads = run_heads(events.where("edge or not done"))
+    fields = ["head", "pos", "event_no", "entity", "speaker", "start_ms", "end_ms"]
+    arrived = events.where("done").withColumn("head", F.col("ptr")).select(*fields)
+    joined = events.where("not done").join(heads, "pos").select(*fields)
     runs = (
-        events.join(heads, "pos", "left")
-        .groupBy(F.coalesce("head", "pos").alias("head"))
+        arrived.unionByName(joined)
+        .groupBy("head")
         .agg(
             F.min(F.struct("pos", "event_no", "entity", "speaker")).alias("a"),
             F.max(F.struct("pos", "event_no")).alias("z"),
