@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from castwright.operators.ordered import PART, carried_scan, range_sorted
+from castwright.session import cut
 
 UNKNOWN = "UNKNOWN"
 TAGS = ("speaker", "time", "note", "filler", "speech")
@@ -329,7 +330,8 @@ def speaker_turns(segments: DataFrame, transcripts: DataFrame, struct_out: DataF
     )
     by_episode = names.groupBy("episode_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "named"))).alias("names"))
     lines = tag_lines(texts.join(by_episode, "episode_id", "left").select("episode_id", "text", "names"), tagger, with_text)
-    tagged = tag_segments(seg, tagger, with_text)
+    # Written once: the two branches below and the sampling for the range sort would each tag every unit again.
+    tagged = cut(tag_segments(seg, tagger, with_text).unionByName(lines).where("says or says_bare"))
     # The few units with a name are looked up apart, so that no null key meets in one task.
     called = tagged.where("name is not null").join(names, ["episode_id", "name"], "left").select(
         "episode_id", "unit", F.coalesce("named", F.lit(UNKNOWN)).alias("speaker"), F.when(F.col("bare") & F.col("named").isNull(), F.col("says_bare")).otherwise(F.col("says")).alias("says"), "text"
@@ -337,7 +339,6 @@ def speaker_turns(segments: DataFrame, transcripts: DataFrame, struct_out: DataF
     units = (
         tagged.where("name is null").select("episode_id", "unit", F.col("own").alias("speaker"), "says", "text")
         .unionByName(called)
-        .unionByName(lines.select("episode_id", "unit", F.col("own").alias("speaker"), "says", "text"))
         .where("says")
     )
     ordered = range_sorted(units.select("episode_id", "unit", "speaker", "text"), ["episode_id", "unit"])
