@@ -32,22 +32,18 @@ _BETWEEN = re.compile(
 )
 _CJK = "぀-ヿ㐀-鿿豈-﫿"
 _TOKEN = re.compile(rf"[{_CJK}]|[^\W_{_CJK}]+", re.U)
-_IGNORED = {c: None for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf"}
+_IGNORED = re.compile("[­؜᠎​-‏‪-‮⁠-⁯﻿￹-￻]")
 
 
 def read_tokens(text: str) -> list[str]:
     """The tokens of a text, without labels, times, sound annotations and hesitations."""
-    text = unicodedata.normalize("NFKC", text).translate(_IGNORED).lower()
+    text = _IGNORED.sub("", unicodedata.normalize("NFKC", text)).lower()
     text = _CJK_FILLERS.sub("", _BETWEEN.sub(" ", text))
     return [t for t in _TOKEN.findall(text) if t not in FILLERS]
 
 
-def _is_char(token: str) -> bool:
-    return len(token) == 1 and token >= "぀"
-
-
 class Fingerprints:
-    """Winnowed fingerprints of a text."""
+    """Winnowed fingerprints of texts; many texts are winnowed at once."""
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
@@ -55,34 +51,50 @@ class Fingerprints:
     def __reduce__(self):
         return Fingerprints, ()
 
-    def of(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, token position) of the kept k-grams; characters and words are winnowed apart, each with its own k."""
+    def _code(self, token: str) -> int:
+        """A hash that is odd for words and even for characters of scripts without spaces; 0 is no token."""
+        char = len(token) == 1 and token >= "\u3040"
+        code = self.known[token] = (xxhash.xxh3_64_intdigest(token) | 1) ^ char or 2
+        return code
+
+    def of_many(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, text number, token position) of the kept k-grams; characters and words are winnowed apart, each with its own k."""
         known = self.known
         if len(known) > 500_000:
             known.clear()
-        codes = np.fromiter((known.get(t) or known.setdefault(t, xxhash.xxh3_64_intdigest(t) | 1) for t in tokens), dtype=np.uint64, count=len(tokens))
-        chars = np.fromiter(map(_is_char, tokens), dtype=bool, count=len(tokens))
+        sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+        codes = np.zeros(int(sizes.sum()) + K_CHARS + W_CHARS, dtype=np.uint64)  # a 0 behind each text
+        at = 0
+        for t, n in zip(texts, sizes.tolist()):
+            codes[at : at + n - 1] = [known.get(x) or self._code(x) for x in t]
+            at += n
+        starts = np.cumsum(sizes) - sizes
         found_h, found_p = [], []
-        for k, w, pick in ((K, W, ~chars), (K_CHARS, W_CHARS, chars)):
-            # A run of one sort of tokens is winnowed by itself.
-            edges = np.flatnonzero(np.diff(np.concatenate(([False], pick, [False])).astype(np.int8)))
-            for a, b in zip(edges[::2], edges[1::2]):
-                n = b - a - k + 1
-                if n < 1:
-                    continue
-                h = np.zeros(n, dtype=np.uint64)
-                for i in range(k):
-                    h = h * np.uint64(0x9E3779B97F4A7C15) + codes[a + i : a + i + n]
-                h ^= h >> np.uint64(29)
-                if n <= w:
-                    at = np.array([int(h.argmin())])
-                else:
-                    at = np.unique(np.arange(n - w + 1) + np.lib.stride_tricks.sliding_window_view(h, w).argmin(axis=1))
-                found_h.append(h[at])
-                found_p.append(at + a)
-        if not found_h:
-            return np.empty(0, np.int64), np.empty(0, np.int32)
-        return np.concatenate(found_h).view(np.int64), np.concatenate(found_p).astype(np.int32)
+        even = (codes & np.uint64(1)) == 0
+        for k, w, pick in ((K, W, ~even), (K_CHARS, W_CHARS, even & (codes != 0))):
+            n = len(codes) - k + 1
+            h, valid = np.zeros(n, dtype=np.uint64), np.ones(n, dtype=bool)
+            for i in range(k):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n]
+                valid &= pick[i : i + n]
+            h ^= h >> np.uint64(29)
+            h = np.where(valid, h, np.uint64(0xFFFFFFFFFFFFFFFF))
+            # Windows of w k-grams of one run, and one for the start of each run, which may be shorter.
+            begins = valid & ~np.append([False], valid[:-1])
+            full = np.ones(n - w + 1, dtype=bool)
+            for i in range(w):
+                full &= valid[i : i + n - w + 1]
+            first = np.flatnonzero(full | begins[: n - w + 1])
+            kept = np.unique(first + np.lib.stride_tricks.sliding_window_view(h, w)[first].argmin(axis=1))
+            found_h.append(h[kept])
+            found_p.append(kept)
+        h, p = np.concatenate(found_h), np.concatenate(found_p)
+        which = np.searchsorted(starts, p, side="right") - 1
+        return h.view(np.int64), which, (p - starts[which]).astype(np.int32) if len(p) else p.astype(np.int32)
+
+    def of(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        h, _, p = self.of_many([tokens])
+        return h, p
 
 
 def fingerprints(df: DataFrame, key: str, text: str, prefix: str) -> DataFrame:
@@ -91,18 +103,16 @@ def fingerprints(df: DataFrame, key: str, text: str, prefix: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, hashes, places, n = [], [], [], 0
+            ids, texts, n, left = [], [], 0, len(batch)
             for i, t in zip(batch[key], batch["__text"]):
-                h, p = made.of(read_tokens(t))
-                ids.append(np.full(len(h), i, dtype=np.int64))
-                hashes.append(h)
-                places.append(p)
-                n += len(h)
-                if n > 200_000:
-                    yield pd.DataFrame({key: np.concatenate(ids), "hash": np.concatenate(hashes), prefix + "pos": np.concatenate(places)})
-                    ids, hashes, places, n = [], [], [], 0
-            if n:
-                yield pd.DataFrame({key: np.concatenate(ids), "hash": np.concatenate(hashes), prefix + "pos": np.concatenate(places)})
+                ids.append(i)
+                texts.append(read_tokens(t))
+                n, left = n + len(texts[-1]), left - 1
+                if n > 100_000 or not left:
+                    h, which, p = made.of_many(texts)
+                    if len(h):
+                        yield pd.DataFrame({key: np.array(ids, dtype=np.int64)[which], "hash": h, prefix + "pos": p})
+                    ids, texts, n = [], [], 0
 
     return df.select(F.col(key).cast("bigint").alias(key), F.col(text).alias("__text")).where(f"{key} is not null and __text is not null").mapInPandas(run, f"{key} bigint, hash bigint, {prefix}pos int")
 
