@@ -169,3 +169,58 @@ def classify_terms(docs: DataFrame) -> DataFrame:
     spots = F.filter(F.transform("variants", lambda t: F.array_position(F.transform("points", lambda p: F.contains(p, t)), True)), lambda i: i > 0)
     dup = F.arrays_overlap("variants", "has")
     return v.select("episode_id", "term_no", F.trim("k.keyword").alias("term"), F.when(dup, "dup").when(F.size(spots) > 0, "inline").otherwise("keep").alias("state"), F.when(~F.coalesce(dup, F.lit(False)) & (F.size(spots) > 0), F.element_at(spots, 1) - 1).cast("int").alias("target"))
+
+
+def merge_blocks(text: Column) -> Column:
+    """Neighbouring blocks of one 【label】 as one block; a block without label belongs to the one before it.
+
+    Between the parts stands a period unless a mark does; a comma at the end of the whole becomes a period.
+    """
+    blocks = F.filter(F.transform(F.split(text, r"\n\s*\n|\n(?=【)"), lambda b: F.trim(b)), lambda b: b != "")
+    label = lambda b: F.regexp_extract(b, r"^(【[^】]*】)", 1)
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("label"), F.lit("").alias("open"))
+
+    def step(acc: Column, b: Column) -> Column:
+        body = F.trim(F.regexp_replace(b, r"^【[^】]*】", ""))
+        joins = (acc["open"] != "") & ((label(b) == "") | (label(b) == acc["label"]))
+        glue = F.when(acc["open"].rlike(r"[。！？…，、；：.!?,;:」”）)]$"), "").otherwise("。")
+        return F.struct(
+            F.when(joins | (acc["open"] == ""), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))).alias("done"),
+            F.when(joins, acc["label"]).otherwise(label(b)).alias("label"),
+            F.when(joins, F.concat(acc["open"], glue, body)).otherwise(b).alias("open"),
+        )
+
+    whole = F.aggregate(blocks, start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+    return F.array_join(F.transform(whole, lambda b: F.regexp_replace(b, "[，,]$", "。")), "\n\n")
+
+
+def stale_anchors(docs: DataFrame) -> DataFrame:
+    """``episode_id, kp_no, anchor, repaired``: anchors that the text doesn't hold, with the first cleaned form that it holds."""
+    a = docs.select("episode_id", "full_text", F.posexplode(F.transform("key_points", lambda k: k["anchor"])).alias("at", "anchor")).where("anchor is not null and anchor <> '' and full_text is not null")
+    forms = [F.trim("anchor"), F.regexp_replace("anchor", r"[，。！？、；：,.!?;:]+$", ""), F.regexp_replace("anchor", r"\s+", "")]
+    repaired = F.coalesce(*[F.when((f != "") & F.contains("full_text", f), f) for f in forms])
+    return a.where(~F.contains("full_text", "anchor")).select("episode_id", (F.col("at") + 1).alias("kp_no"), "anchor", repaired.alias("repaired"))
+
+
+def inline_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Documents without the glossary items that are 'dup' or 'inline'; an inline item becomes a term of its key point.
+
+    ``terms`` is the result of ``classify_terms``; applying it again changes nothing. ``n_dup`` and ``n_inline`` count.
+    """
+    per = terms.groupBy("episode_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("term_no", F.struct("state", "target"))))).alias("states"))
+    d = docs.join(per, "episode_id", "left")
+    state = lambda i: F.element_at("states", i)
+    indexed = F.transform(F.coalesce("keywords", F.array()), lambda k, i: F.struct(k.alias("k"), i.alias("i")))
+    moved = F.filter(indexed, lambda x: F.coalesce(state(x["i"])["state"] == "inline", F.lit(False)))
+    kept = F.transform(F.filter(indexed, lambda x: F.coalesce(state(x["i"])["state"], F.lit("keep")) == "keep"), lambda x: x["k"])
+    points = F.transform("key_points", lambda p, j: p.withField("terms", F.concat(F.coalesce(p["terms"], F.array()), F.transform(F.filter(moved, lambda x: state(x["i"])["target"] == j), lambda x: F.struct(x["k"]["keyword"].alias("term"), x["k"]["descr"].alias("descr"))))))
+    n = lambda s: F.size(F.filter(indexed, lambda x: F.coalesce(state(x["i"])["state"] == s, F.lit(False))))
+    return d.select(*[c for c in docs.columns if c not in ("key_points", "keywords")], points.alias("key_points"), kept.alias("keywords"), n("dup").alias("n_dup"), n("inline").alias("n_inline"))
+
+
+def turn_checks(turns: DataFrame) -> DataFrame:
+    """``episode_id, check, n_hits`` on speaker turns (``key``, ``n``): V23 one speaker has more than 85 % of four turns or more, V24 three turns in a row."""
+    per = turns.groupBy("episode_id", "key").agg(F.count(F.lit(1)).alias("k")).groupBy("episode_id").agg(F.sum("k").alias("total"), F.max("k").alias("top"))
+    share = per.where("total >= 4 and top > 0.85 * total").select("episode_id", F.lit("V23").alias("check"), F.col("top").alias("n_hits"))
+    runs = turns.where("n >= 3").groupBy("episode_id").agg(F.count(F.lit(1)).alias("n_hits")).select("episode_id", F.lit("V24").alias("check"), "n_hits")
+    return share.unionByName(runs)

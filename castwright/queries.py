@@ -531,3 +531,152 @@ def x8_episode_keys(spark: SparkSession, d: str) -> DataFrame:
 @query("t3_fingerprints", "select distinct episode_id, sha256(case when raw_text is null then '~' else length(raw_text) || ':' || raw_text end || '|' || case when layout is null then '~' else length(layout) || ':' || layout end) as fp from transcripts")
 def t3_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "transcripts").select("episode_id", cache.fingerprint(F.col("raw_text"), F.col("layout")).alias("fp")).distinct()
+
+
+# --- Further ones ------------------------------------------------------------------------------------------------
+
+
+@query(
+    "a9_retention",
+    """with o as (select distinct episode_id, length(regexp_replace(coalesce(full_text, ''), '【[^】]*】|\\[SPEAKER_\\d+\\]|[\\s\\p{Z}]+', '', 'g')) as n from output_docs),
+    t as (select distinct episode_id, length(regexp_replace(coalesce(raw_text, ''), '【[^】]*】|\\[SPEAKER_\\d+\\]|[\\s\\p{Z}]+', '', 'g')) as n from transcripts)
+    select o.episode_id, round(o.n / greatest(t.n, 1), 6) as kept from o join t on o.episode_id = t.episode_id""",
+)
+def a9_retention(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "output_docs").select("episode_id", F.length(text.strip_labels(F.coalesce("full_text", F.lit("")))).alias("n")).distinct()
+    t = table(spark, d, "transcripts").select("episode_id", F.length(text.strip_labels(F.coalesce("raw_text", F.lit("")))).alias("m")).distinct()
+    return o.join(t, "episode_id").select("episode_id", F.round(F.col("n") / F.greatest("m", F.lit(1)), 6).alias("kept"))
+
+
+@query("a14_shares", "with c as (select label, count(*) as n from embeddings group by 1), t as (select sum(n) as t from c) select label, n, round(n / t, 4) as share, round((select min(n) from c) / t, 4) as min_share from c, t")
+def a14_shares(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    whole = c.agg(F.sum("n").alias("t"), F.min("n").alias("m")).withColumn("one", F.lit(1))
+    return c.withColumn("one", F.lit(1)).join(whole, "one").select("label", "n", F.round(F.col("n") / F.col("t"), 4).alias("share"), F.round(F.col("m") / F.col("t"), 4).alias("min_share"))
+
+
+@query("a17_time_units", "select episode_id, case when max(end_ms) >= 1000 then 'ms' else 's' end as unit, max(end_ms) as latest from segments group by 1")
+def a17_time_units(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "segments").groupBy("episode_id").agg(F.when(F.max("end_ms") >= 1000, "ms").otherwise("s").alias("unit"), F.max("end_ms").alias("latest"))
+
+
+@query("a18_stated_counts")
+def a18_stated_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "episodes").select("episode_id", numbers.stated_count(F.col("show_notes")).alias("stated"))
+
+
+@query(
+    "a20_batch_status",
+    "select case when o.episode_id is not null then 'done' when s.episode_id is not null then 'pending' else 'untouched' end as status, count(*) as n from (select distinct episode_id from episodes) e left join (select distinct episode_id from output_docs) o on e.episode_id = o.episode_id left join (select distinct episode_id from struct_out) s on e.episode_id = s.episode_id group by 1",
+)
+def a20_batch_status(spark: SparkSession, d: str) -> DataFrame:
+    ids = lambda t, c: table(spark, d, t).select("episode_id").distinct().withColumn(c, F.lit(True))
+    e = ids("episodes", "e").join(ids("output_docs", "o"), "episode_id", "left").join(ids("struct_out", "s"), "episode_id", "left")
+    return e.groupBy(F.when(F.col("o"), "done").when(F.col("s"), "pending").otherwise("untouched").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "a23_effective_k",
+    "with r as (select episode_id, count(distinct typed_name) as n from roster where origin = 'show_notes' and cast_role <> '机构' group by 1) select t.episode_id, case when n >= 2 then n end as k, coalesce(duration_sec > 720, false) as forced from (select distinct episode_id, duration_sec from transcripts) t left join r on t.episode_id = r.episode_id",
+)
+def a23_effective_k(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "roster").where("origin = 'show_notes' and cast_role <> '机构'").groupBy("episode_id").agg(F.count_distinct("typed_name").alias("n"))
+    t = table(spark, d, "transcripts").select("episode_id", "duration_sec").distinct()
+    return t.join(r, "episode_id", "left").select("episode_id", F.when(F.col("n") >= 2, F.col("n")).alias("k"), F.coalesce(F.col("duration_sec") > 720, F.lit(False)).alias("forced"))
+
+
+_LABEL_OF = lambda x: f"'【' || trim(split_part(regexp_replace(regexp_replace(trim(coalesce({x}, '')), '^(主持人|主理人|主播|主持|主理|嘉宾|客座)[：:\\s]*', ''), '[（(][^（）()]*[）)]', '', 'g'), '·', 1)) || '】'"
+
+
+def _replaced(x: str, n: int = 8) -> str:
+    for i in range(n):
+        k = f"SPEAKER_{i:02d}"
+        x = f"case when map_contains(m, '{k}') then replace({x}, '[{k}]', {_LABEL_OF(f'''m['{k}']''')}) else {x} end"
+    return x
+
+
+@query(
+    "j5_substituted_labels",
+    f"with s as (select episode_id, arg_min(speaker_mapping, run_no) as m from struct_out where speaker_mapping is not null group by 1), t as (select distinct episode_id, raw_text from transcripts), x as (select t.episode_id, raw_text, m from t join s on t.episode_id = s.episode_id) select episode_id, {_replaced('raw_text', 4)} as t from x",
+)
+def j5_substituted_labels(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "struct_out").where("speaker_mapping is not null").groupBy("episode_id").agg(F.min_by("speaker_mapping", "run_no").alias("m"))
+    t = table(spark, d, "transcripts").select("episode_id", "raw_text").distinct()
+    return t.join(s, "episode_id").select("episode_id", documents.substitute_labels(F.col("raw_text"), F.col("m")).alias("t"))
+
+
+@query(
+    "j18_stale_anchors",
+    """with a as (select episode_id, full_text, unnest(list_transform(key_points, lambda k: k.anchor)) as anchor, cast(unnest(range(len(key_points))) + 1 as int) as kp_no from output_docs where full_text is not null),
+    s as (select *, trim(anchor) as f1, regexp_replace(anchor, '[，。！？、；：,.!?;:]+$', '') as f2, regexp_replace(anchor, '\\s+', '', 'g') as f3 from a where coalesce(anchor, '') <> '' and not contains(full_text, anchor))
+    select episode_id, kp_no, anchor, coalesce(case when f1 <> '' and contains(full_text, f1) then f1 end, case when f2 <> '' and contains(full_text, f2) then f2 end, case when f3 <> '' and contains(full_text, f3) then f3 end) as repaired from s""",
+)
+def j18_stale_anchors(spark: SparkSession, d: str) -> DataFrame:
+    return documents.stale_anchors(table(spark, d, "output_docs"))
+
+
+@query("j20_changed_lines")
+def j20_changed_lines(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "output_docs").select("episode_id", F.split("full_text", "\n").alias("a"), F.split(text.clean_marks(F.col("full_text")), "\n").alias("b"))
+    n = F.least(F.size("a"), F.size("b"))
+    return o.select("episode_id", F.aggregate(F.zip_with(F.slice("a", F.lit(1), n), F.slice("b", F.lit(1), n), lambda x, y: F.when(x == y, 0).otherwise(1)), F.lit(0), lambda s, x: s + x).alias("changed"))
+
+
+@query("g4_inlined_terms")
+def g4_inlined_terms(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "output_docs").dropDuplicates(["episode_id"])
+    out = documents.inline_terms(o, documents.classify_terms(o))
+    return out.select("episode_id", "n_dup", "n_inline", F.size("keywords").alias("n_kept"), F.aggregate("key_points", F.lit(0), lambda s, p: s + F.size(F.coalesce(p["terms"], F.array()))).alias("n_terms"))
+
+
+@query("w5_merged_blocks")
+def w5_merged_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "output_docs").select("episode_id", documents.merge_blocks(F.col("full_text")).alias("t"))
+
+
+@query("w7_chunk_times", "select episode_id, seg_no, start_ms // 600000 as chunk_idx, start_ms - (start_ms // 600000) * 600000 as local_ms from segments where start_ms >= 0")
+def w7_chunk_times(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "segments").where("start_ms >= 0").select("episode_id", "seg_no", F.expr("start_ms div 600000").alias("chunk_idx"), F.expr("start_ms % 600000").alias("local_ms"))
+
+
+@query(
+    "v23_turn_shares",
+    f"""with r as ({_islands_sql("").replace("{}", "")}), p as (select episode_id, sum(k) as total, max(k) as top from (select episode_id, key, count(*) as k from r group by 1, 2) group by 1)
+    select episode_id, 'V23' as "check", top as n_hits from p where total >= 4 and top > 0.85 * total union all select episode_id, 'V24', count(*) from r where n >= 3 group by 1""",
+)
+def v23_turn_shares(spark: SparkSession, d: str) -> DataFrame:
+    return documents.turn_checks(islands.merge_neighbours(_for_islands(spark, d), gap_ms=None, separator=""))
+
+
+@query("u3_names_in_both", "select episode_id, typed_name from roster where origin = 'show_notes' intersect select episode_id, typed_name from roster where origin = 'speaker_intro'")
+def u3_names_in_both(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "roster")
+    return r.where("origin = 'show_notes'").select("episode_id", "typed_name").intersect(r.where("origin = 'speaker_intro'").select("episode_id", "typed_name"))
+
+
+@query("u6_all_intervals", "select episode_id, seg_no as no, start_ms, end_ms, 'asr' as source from segments union all select episode_id, dseg_no, start_ms, end_ms, 'diarizer' from diar_segments")
+def u6_all_intervals(spark: SparkSession, d: str) -> DataFrame:
+    part = lambda t, c, s: table(spark, d, t).select("episode_id", F.col(c).alias("no"), "start_ms", "end_ms", F.lit(s).alias("source"))
+    return part("segments", "seg_no", "asr").unionByName(part("diar_segments", "dseg_no", "diarizer"))
+
+
+@query("u7_sorted_labels", "select episode_id, list_sort(list_distinct(regexp_extract_all(raw_text, '\\[SPEAKER_\\d+\\]'))) as labels from transcripts where raw_text is not null")
+def u7_sorted_labels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "transcripts").where("raw_text is not null").select("episode_id", F.array_sort(F.array_distinct(F.regexp_extract_all("raw_text", F.lit(r"(\[SPEAKER_\d+\])"), F.lit(1)))).alias("labels"))
+
+
+@query("t1_cache_put", "select distinct left(sha256(trim(coalesce(url, '') || '|' || coalesce(pub_date, '') || '|final', '|')), 16) as key, url, 'final' as stage from episodes")
+def t1_cache_put(spark: SparkSession, d: str) -> DataFrame:
+    entries = table(spark, d, "episodes").select(cache.episode_key(F.col("url"), F.col("pub_date"), F.lit("final")).alias("key"), "url", F.lit("final").alias("stage")).distinct()
+    return cache.put(cache.put(entries.where(F.lit(False)), entries), entries)
+
+
+@query("k9_quality", "select case when n = 0 then 'final' else 'degraded' end as quality, count(*) as n_docs from (select len(coalesce(warnings, [])) as n from output_docs) group by 1")
+def k9_quality(spark: SparkSession, d: str) -> DataFrame:
+    n = F.size(F.coalesce("warnings", F.array().cast("array<string>")))
+    return table(spark, d, "output_docs").groupBy(F.when(n == 0, "final").otherwise("degraded").alias("quality")).agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+@query("k3_handoff")
+def k3_handoff(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "output_docs").select("episode_id", F.to_json(F.struct("title", "podcast_name", "pub_date", "summary", "key_points", "keywords")).alias("handoff"))
