@@ -12,7 +12,7 @@ AUDIO = r"(?i)\.(?:mp3|m4a|wav|ogg)"
 
 def read_texts(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """``path, stem, text`` of whole text files whose names match."""
-    files = spark.read.option("pathGlobFilter", glob).option("wholetext", True).text(path)
+    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
     name = F.substring_index(F.input_file_name(), "/", -1)
     return files.select(F.input_file_name().alias("path"), F.regexp_replace(name, r"(?:_diarized)?\.[^.]*$", "").alias("stem"), F.col("value").alias("text"))
 

@@ -22,15 +22,12 @@ def read_segments(spark: SparkSession, path: str, files_per_trigger: int = 8) ->
 def closed_runs(stream: DataFrame, gap_ms: int = 200) -> DataFrame:
     """Runs as they close; rows of a batch are taken in the order of seg_no, a row behind the open run is late and dropped.
 
-    The last run of an episode closes when nothing has come for ten minutes.
+    The last run of an episode stays open until a segment of another run comes. (A processing-time timeout would keep
+    a query over the files at hand from ending.)
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         out = []
-        if state.hasTimedOut:
-            yield pd.DataFrame([(key[0], *state.get)], columns=["episode_id", "speaker", "first_no", "last_no", "start_ms", "end_ms"])
-            state.remove()
-            return
         open_run = list(state.get) if state.exists else None
         rows = pd.concat(list(batches)).drop_duplicates("seg_no").sort_values("seg_no")
         for speaker, no, start, end in zip(rows["speaker"].fillna("UNKNOWN"), rows["seg_no"], rows["start_ms"], rows["end_ms"]):
@@ -44,7 +41,6 @@ def closed_runs(stream: DataFrame, gap_ms: int = 200) -> DataFrame:
                 open_run = [speaker, int(no), int(no), int(start), int(end)]
         if open_run is not None:
             state.update(tuple(open_run))
-            state.setTimeoutDuration(600_000)
         yield pd.DataFrame(out, columns=["episode_id", "speaker", "first_no", "last_no", "start_ms", "end_ms"])
 
-    return stream.groupBy("episode_id").applyInPandasWithState(step, RUNS, "speaker string, first_no int, last_no int, start_ms bigint, end_ms bigint", "append", "ProcessingTimeTimeout")
+    return stream.groupBy("episode_id").applyInPandasWithState(step, RUNS, "speaker string, first_no int, last_no int, start_ms bigint, end_ms bigint", "append", "NoTimeout")
