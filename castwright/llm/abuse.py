@@ -7,12 +7,14 @@ the extreme-value distribution of the best segment in a text of that length and
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,30 +33,53 @@ SEEDS = (
 ).split()
 _LEET = str.maketrans("013457@$", "oieastas")
 _SHAPES = str.maketrans(SHAPES_FROM, SHAPES_TO)
+_ANY_SHAPE = re.compile(f"[{SHAPES_FROM}]")
 _WIDE = "぀-ヿ㐀-鿿"
 _HIDDEN = re.compile("[­​-‏⁠-⁤﻿︀-️]")
 _SPLIT_WIDE = re.compile(rf"(?<=[{_WIDE}])[ 　*＊·.•_\-]{{1,3}}(?=[{_WIDE}])")
-_SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][ .\-*_·]){3,}[^\W\d_](?![^\W\d_])")
+_TRIPLES = [c * 3 for c in "abcdefghijklmnopqrstuvwxyzäöüßáéíóúñ"]
 _LONG = re.compile(r"([^\W\d_])\1{2,}")
 _NUMBERED = re.compile(r"([a-z]+)\d+[a-z]?")
 _LABEL = re.compile(r"\[[^\[\]\n]{0,40}\]|【[^【】\n]{0,40}】|<\|[^<>]{0,20}\|>")
 _IN = rf"(?:(?![{_WIDE}฀-๿])[\w*'@$ऀ-ॣ०-ॿ])"
-_TOKEN = re.compile(rf"[{_WIDE}]|[฀-๿]+|(?![_{_WIDE}฀-๿])\w{_IN}*", re.U)
+_TOKEN = re.compile(rf"[a-z0-9][a-z0-9*'@$\u00c0-\u024f\u0370-\u04ff]*|[{_WIDE}]|[฀-๿]+|(?![_{_WIDE}฀-๿])\w{_IN}*", re.U)
 
 
 def read_tokens(text: str) -> list[str]:
     """Tokens of a text with the usual disguises undone: look-alikes, hidden or inserted characters, digits for letters, stretched letters."""
-    text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).translate(_SHAPES).lower()
+    if not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text)
+    text = _HIDDEN.sub("", text)
+    if _ANY_SHAPE.search(text):
+        text = text.translate(_SHAPES)
+    text = text.lower()
     text = _SPLIT_WIDE.sub("", _LABEL.sub(" ", text))
-    text = _SPACED.sub(lambda m: re.sub(r"[ .\-*_·]", "", m[0]), text)
-    text = _LONG.sub(r"\1", text)
+    if any(t in text for t in _TRIPLES):
+        text = _LONG.sub(r"\1", text)
     out: list[str] = []
+    letters = 0  # single letters in a row, which may spell a word
     for t in _TOKEN.findall(text):
-        if "฀" <= t[0] <= "๿":
-            out += [t[i : i + 4] for i in range(0, max(1, len(t) - 3), 2)]
+        if len(t) == 1:
+            if t < "\u0e00" and t.isalpha():
+                letters += 1
+            elif letters:
+                letters = _join(out, letters)
+            if t.isdigit():
+                t = "0"
+            out.append(t)
+            continue
+        if letters:
+            letters = _join(out, letters)
+        if t.isalpha():
+            if "\u0e00" <= t[0] <= "\u0e7f":
+                out += _pieces(t)
+            else:
+                out.append(t)
+        elif "\u0e00" <= t[0] <= "\u0e7f":
+            out += _pieces(t)
         elif t.isdigit():
             out.append("0")
-        elif t.isascii() and not t.isalpha():
+        elif t.isascii():
             t = re.sub(r"\*+", "*", t)
             if m := _NUMBERED.fullmatch(t):
                 t = m[1]
@@ -63,12 +88,61 @@ def read_tokens(text: str) -> list[str]:
             out.append(t)
         else:
             out.append(t)
+    if letters:
+        _join(out, letters)
     return out
 
 
-def keys(tokens: list[str]) -> list[tuple[str, str]]:
-    """For each token the pair with the token before it, and the token."""
-    return [(f"{a} {b}", b) for a, b in zip(["^", *tokens], tokens)]
+def _pieces(t: str) -> list[str]:
+    """Overlapping pieces of a script without word boundaries."""
+    return [t[i : i + 4] for i in range(0, max(1, len(t) - 3), 2)]
+
+
+def _join(out: list[str], letters: int) -> int:
+    """Join the last tokens, single letters, to a word if there are four at least."""
+    if letters > 3:
+        out[-letters:] = ["".join(out[-letters:])]
+    return 0
+
+
+def keys(tokens: list[str]) -> list[str]:
+    """For each token the pair of the token before it and itself."""
+    return [f"{a} {b}" for a, b in zip(["^", *tokens], tokens)]
+
+
+class Index:
+    """Numbers of known tokens and of known pairs, for arithmetic on whole texts."""
+
+    def __init__(self, wanted: Iterable[str]) -> None:
+        self.wanted = sorted(wanted)
+        pairs = [k for k in self.wanted if " " in k]
+        self.single = [k for k in self.wanted if " " not in k]
+        self.tokens = {t: i for i, t in enumerate(dict.fromkeys(["^", *self.single, *itertools.chain.from_iterable(p.split(" ") for p in pairs)]), 1)}
+        size = len(self.tokens) + 1
+        codes = np.array([self.tokens[a] * size + self.tokens[b] for a, b in (p.split(" ") for p in pairs)], dtype=np.int64)
+        order = np.argsort(codes)
+        self.size, self.codes, self.pairs = size, codes[order], [pairs[i] for i in order]
+
+    def __reduce__(self):
+        return Index, (self.wanted,)
+
+    def ids(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each token or 0, place of its pair with the token before it among the pairs or -1)."""
+        get = self.tokens.get
+        own = np.array([get(t, 0) for t in tokens], dtype=np.int64)
+        before = np.append([self.tokens["^"]], own[:-1]) if len(own) else own
+        if not len(self.codes) or not len(own):
+            return own, np.full(len(own), -1)
+        code = np.where((own > 0) & (before > 0), before * self.size + own, -1)
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return own, np.where(self.codes[at] == code, at, -1)
+
+    def count(self, texts: list[list[str]]) -> Counter:
+        own, pair = self.ids(list(itertools.chain.from_iterable(itertools.chain(("^",), t) for t in texts)))
+        single, pairs = np.bincount(own, minlength=self.size), np.bincount(pair + 1, minlength=len(self.pairs) + 1)[1:]
+        out = Counter({k: int(n) for k in self.single if (n := single[self.tokens[k]])})
+        out.update({k: int(n) for k, n in zip(self.pairs, pairs) if n})
+        return out
 
 
 def _counts(df: DataFrame, wanted: frozenset[str] | None, rate: dict[str, float]) -> DataFrame:
@@ -77,40 +151,27 @@ def _counts(df: DataFrame, wanted: frozenset[str] | None, rate: dict[str, float]
     Counts are summed in each task before they are sent.
     """
     usual = rate.get("", 0.0)
+    index = None if wanted is None else Index(wanted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, dict[str, int]] = {}
-        size = 0
-
-        def flush() -> pd.DataFrame:
+        for batch in batches:
             rows: dict[str, list] = {}
-            for lang, counts in total.items():
+            by_lang: dict[str, list[list[str]]] = {}
+            for lang, text in zip(batch["lang"], batch["text"]):
+                by_lang.setdefault(lang or "", []).append(read_tokens(text))
+            for lang, texts in by_lang.items():
                 r = rate.get(lang, usual)
-                for k, n in counts.items():
+                if index is None:
+                    found = Counter(k for t in texts for k in itertools.chain(t, keys(t)))
+                else:
+                    found = index.count(texts)
+                found[""] = sum(map(len, texts))
+                for k, n in found.items():
                     x = rows.setdefault(k, [0, 0.0])
                     x[0] += n
                     x[1] += n * r
-            total.clear()
-            return pd.DataFrame([(k, n, e) for k, (n, e) in rows.items()], columns=["key", "n", "e"])
-
-        for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"]):
-                own = total.setdefault(lang or "", Counter())
-                tokens = read_tokens(text)
-                pairs = keys(tokens)
-                own[""] += len(tokens)
-                if wanted is None:
-                    own.update(tokens)
-                    own.update(p for p, _ in pairs)
-                else:
-                    own.update(filter(wanted.__contains__, tokens))
-                    own.update(p for p, t in pairs if p in wanted)
-                size += len(tokens)
-            if size > 400_000:
-                yield flush()
-                size = 0
-        if size or total:
-            yield flush()
+            if rows:
+                yield pd.DataFrame([(k, n, e) for k, (n, e) in rows.items()], columns=["key", "n", "e"])
 
     return df.where("text is not null").select("lang", "text").mapInPandas(run, "key string, n bigint, e double").groupBy("key").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
 
@@ -120,10 +181,21 @@ class Model:
 
     def __init__(self, score: dict[str, float], other: float, lam: float, k: float) -> None:
         self.score, self.other, self.lam, self.k = score, other, lam, k
-
-    def scores(self, tokens: list[str]) -> list[float]:
-        get, other = self.score.get, self.other
-        return [p if (p := get(pair)) is not None else get(token, other) for pair, token in keys(tokens)]
+        self.index = Index(score)
+        self.by_token = np.full(self.index.size, other)
+        for t in self.index.single:
+            self.by_token[self.index.tokens[t]] = score[t]
+        self.by_pair = np.array([score[p] for p in self.index.pairs] or [0.0])
+
+    def __reduce__(self):
+        return Model, (self.score, self.other, self.lam, self.k)
+
+    def scores(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The scores of the tokens of each text: that of a token's pair with the one before it if that is known, else its own."""
+        own, pair = self.index.ids(list(itertools.chain.from_iterable(itertools.chain(("^",), t) for t in texts)))
+        whole = np.where(pair >= 0, self.by_pair[pair], self.by_token[own])
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        return [whole[e - len(t) : e] for t, e in zip(texts, ends.tolist())]
 
     def surprise(self, score: float, n: int) -> float:
         """-log10 of the probability that a clean text of n tokens has a segment of this score."""
@@ -131,17 +203,13 @@ class Model:
         return -e / math.log(10) if e < -20 else -math.log10(max(1e-12, -math.expm1(-math.exp(min(e, 50)))))
 
 
-def best_segments(scores: list[float]) -> list[tuple[float, int, int]]:
-    """All maximal-scoring segments (score, from, to), in linear time."""
+def best_segments(scores: list[float] | np.ndarray) -> list[tuple[float, int, int]]:
+    """All maximal-scoring segments (score, from, to), in linear time; only tokens that count for abuse are walked."""
+    s = np.asarray(scores, dtype=np.float64)
+    through = np.cumsum(s)
     stack: list[tuple[float, float, int, int]] = []  # (sum before, sum through, from, to)
-    total = 0.0
-    for i, s in enumerate(scores):
-        before = total
-        total += s
-        if s <= 0:
-            continue
-        left, start = before, i
-        right = total
+    for i in np.flatnonzero(s > 0).tolist():
+        left, right, start = float(through[i - 1]) if i else 0.0, float(through[i]), i
         while stack:
             # The nearest earlier segment whose left sum is smaller.
             j = len(stack) - 1
@@ -225,9 +293,9 @@ def score_documents(documents: DataFrame, model: Model, least: float = 2.0, repo
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, source, text in zip(batch["doc_id"], batch["source"], batch["text"]):
-                tokens = read_tokens(text or "")
-                found = sorted(best_segments(model.scores(tokens)), reverse=True)
+            texts = [read_tokens(t) if t else [] for t in batch["text"]]
+            for doc_id, source, tokens, scores in zip(batch["doc_id"], batch["source"], texts, model.scores(texts)):
+                found = sorted(best_segments(scores), reverse=True)
                 values = [model.surprise(s, len(tokens)) for s, _, _ in found]
                 strong = [v for v in values if v >= report]
                 best = values[0] if values else 0.0
