@@ -36,9 +36,20 @@ _SHAPES = str.maketrans(SHAPES_FROM, SHAPES_TO)
 _ANY_SHAPE = re.compile(f"[{SHAPES_FROM}]")
 _WIDE = "぀-ヿ㐀-鿿"
 _HIDDEN = re.compile("[­​-‏⁠-⁤﻿︀-️]")
-_SPLIT_WIDE = re.compile(rf"(?<=[{_WIDE}])[ 　*＊·.•_\-]{{1,3}}(?=[{_WIDE}])")
-_TRIPLES = [c * 3 for c in "abcdefghijklmnopqrstuvwxyzäöüßáéíóúñ"]
-_LONG = re.compile(r"([^\W\d_])\1{2,}")
+_SPLIT_WIDE = re.compile(rf"[ 　*＊·.•_\-](?<=[{_WIDE}].)[ 　*＊·.•_\-]{{0,2}}(?=[{_WIDE}])")
+# Signs that stand above, below or beside a letter of their script and are no letters themselves.
+_MARKS = "\u0300-\u036f\u0591-\u05c7\u064b-\u065f\u0900-\u0903\u093a-\u093c\u093e-\u094f\u0951-\u0957\u0962\u0963\u0e31\u0e34-\u0e3a\u0e47-\u0e4e"
+_LETTER = r"[^\W\d_]"
+_THAI_LETTER = r"[\u0e01-\u0e46][\u0e31\u0e34-\u0e3a\u0e47-\u0e4e]*"
+# Four letters at least, each parted from the next by one character; letters with signs, which may be words, not by a space, except in Thai.
+_SPACED = re.compile(rf"(?<![{_MARKS}])(?<!{_LETTER})(?:(?:{_LETTER}[ .\-*_·]){{3,}}{_LETTER}|(?:{_LETTER}[{_MARKS}]*[.\-*_·]){{3,}}{_LETTER}[{_MARKS}]*|(?:{_THAI_LETTER}[ .\-*_·]){{3,}}{_THAI_LETTER})(?![{_MARKS}]|{_LETTER})")
+_PARTING = re.compile(r"[ .\-*_·]")
+_ANY_SIGN = re.compile(f"[{_MARKS}\u0e00-\u0e7f]")
+# What every match of _SPACED holds, but for bare letters parted by none of '*' and '_', which read_tokens joins as tokens.
+_MAY_BE_SPACED = re.compile(
+    rf"[*_](?:{_LETTER}[{_MARKS}]*[ .\-*_·]|(?<= {_LETTER}[*_]))|[.\-·]{_LETTER}(?:[{_MARKS}]*[*_]|[{_MARKS}]*[.\-·]{_LETTER}[{_MARKS}]|[{_MARKS}]+[.\-·])|[{_MARKS}][.\-·]{_LETTER}[{_MARKS}]*[.\-·]|[ก-๎][ .\-*_·]{_THAI_LETTER}[ .\-*_·]"
+)
+_LONG = re.compile(rf"([^\W\d_]|[{_MARKS}])\1{{2,}}")
 _NUMBERED = re.compile(r"([a-z]+)\d+[a-z]?")
 _LABEL = re.compile(r"\[[^\[\]\n]{0,40}\]|【[^【】\n]{0,40}】|<\|[^<>]{0,20}\|>")
 _IN = rf"(?:(?![{_WIDE}฀-๿])[\w*'@$ऀ-ॣ०-ॿ])"
@@ -46,21 +57,31 @@ _TOKEN = re.compile(rf"[a-z0-9][a-z0-9*'@$\u00c0-\u024f\u0370-\u04ff]*|[{_WIDE}]
 
 
 def read_tokens(text: str) -> list[str]:
-    """Tokens of a text with the usual disguises undone: look-alikes, hidden or inserted characters, digits for letters, stretched letters."""
-    if not unicodedata.is_normalized("NFKC", text):
-        text = unicodedata.normalize("NFKC", text)
-    text = _HIDDEN.sub("", text)
-    if _ANY_SHAPE.search(text):
-        text = text.translate(_SHAPES)
-    text = text.lower()
-    text = _SPLIT_WIDE.sub("", _LABEL.sub(" ", text))
-    if any(t in text for t in _TRIPLES):
+    """Tokens of a text with the usual disguises undone: look-alikes, hidden characters, digits for letters, letters (four at least) parted by inserted characters, letters of any script stretched to three or more."""
+    if text.isascii():
+        text = _LABEL.sub(" ", text.lower())
+    else:
+        if not unicodedata.is_normalized("NFKC", text):
+            text = unicodedata.normalize("NFKC", text)
+        text = _HIDDEN.sub("", text)
+        if _ANY_SHAPE.search(text):
+            text = text.translate(_SHAPES)
+        text = text.lower()
+        text = _SPLIT_WIDE.sub("", _LABEL.sub(" ", text))
+    if ("*" in text or "_" in text or _ANY_SIGN.search(text)) and _MAY_BE_SPACED.search(text):
+        text = _SPACED.sub(lambda m: _PARTING.sub("", m[0]), text)
+    if _has_triple(text):
         text = _LONG.sub(r"\1", text)
     out: list[str] = []
     letters = 0  # single letters in a row, which may spell a word
     for t in _TOKEN.findall(text):
         if len(t) == 1:
-            if t < "\u0e00" and t.isalpha():
+            if "\u3040" <= t <= "\u9fff":
+                if letters:
+                    letters = _join(out, letters)
+                out.append(t)
+                continue
+            if t.isalpha() and not "\u0e00" <= t <= "\u0e7f":
                 letters += 1
             elif letters:
                 letters = _join(out, letters)
@@ -93,15 +114,22 @@ def read_tokens(text: str) -> list[str]:
     return out
 
 
+def _has_triple(text: str) -> bool:
+    """Whether any letter or sign stands three times in a row."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    same = c[1:] == c[:-1]
+    return any(x > 0x7F or chr(x).isalpha() for x in c[2:][same[1:] & same[:-1]].tolist())
+
+
 def _pieces(t: str) -> list[str]:
-    """Overlapping pieces of a script without word boundaries."""
-    return [t[i : i + 4] for i in range(0, max(1, len(t) - 3), 2)]
+    """Overlapping pieces of a script without word boundaries, one from each place, so that a word's pieces don't depend on where it stands."""
+    return [t[i : i + 4] for i in range(max(1, len(t) - 3))]
 
 
 def _join(out: list[str], letters: int) -> int:
     """Join the last tokens, single letters, to a word if there are four at least."""
     if letters > 3:
-        out[-letters:] = ["".join(out[-letters:])]
+        out[-letters:] = [_LONG.sub(r"\1", "".join(out[-letters:]))]
     return 0
 
 

@@ -261,6 +261,21 @@ def test_disguises():
     assert abuse.read_tokens("M0R0N i​diot D r e c k s a c k lossser v57 白*痴 垃 圾") == ["moron", "idiot", "drecksack", "loser", "v", "白", "痴", "垃", "圾"]
 
 
+@pytest.mark.parametrize("text,want", [
+    ("死死死ね", ["死", "ね"]), ("バカカカカ", ["バ", "カ"]), ("дуррррак", abuse.read_tokens("дурак")), ("कमीीीीने", ["कमीने"]), ("시시시발", ["시발"]), ("ควายยยย", ["ควาย"]),
+    ("f*u*c*k", ["fuck"]), ("i*d*i*o*t", ["idiot"]), ("f*u c*k", ["fuck"]), ("i_d_i_o_t", ["idiot"]), ("f u u u u c k", ["fuck"]), ("f*ck f**k", ["f*ck", "f*k"]), ("死*ね", ["死", "ね"]),
+    ("д*у*р*а*к", abuse.read_tokens("дурак")), ("д_у_р_а_к", abuse.read_tokens("дурак")), ("д у р а к", abuse.read_tokens("дурак")), ("시 발 새 끼", ["시발새끼"]), ("ค ว า ย", ["ควาย"]), ("ค*ว*า*ย", ["ควาย"]),
+    ("ไอ้ควาย", ["ไอ้ค", "อ้คว", "้ควา", "ควาย"]),
+])
+def test_disguises_of_all_scripts(text, want):
+    assert abuse.read_tokens(text) == want
+
+
+def test_parted_letters_with_signs():
+    assert abuse.read_tokens("ह*रा*मी*ने") == abuse.read_tokens("हरामीने")
+    assert abuse.read_tokens("वो तो ये भी") == abuse.read_tokens("वो तो, ये भी")  # short words stay apart
+
+
 def test_scores(spark):
     r = random.Random(4)
     words = [f"word{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
