@@ -11,7 +11,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from castwright.session import cut
@@ -190,6 +190,20 @@ def _judge(check):
     return judge
 
 
+def _near(token: Column) -> Column:
+    """The token and, if it may be misspelt, what is left of it without any one letter: two tokens of one edit share one of these."""
+    shorter = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.concat(F.substr(token, F.lit(1), i - 1), F.substr(token, i + 1)))
+    return F.when(F.length(token) > 3, F.array_union(F.array(token), shorter)).otherwise(F.array(token))
+
+
+def _exact_keys() -> Column:
+    """Keys of a full form by its ``sort`` and ``tokens``: two that ``same_full`` accepts share one at least."""
+    first, last = F.col("tokens")[0], F.col("tokens")[1]
+    beside = lambda same, other: F.transform(_near(other), lambda x: F.concat(same, F.lit("\t"), x))
+    keys = F.when(F.col("sort").isin("pc", "oc"), F.array(F.concat(first, F.lit("\t"), last))).when(F.col("sort") == "ol", beside(last, first))
+    return F.array_distinct(keys.otherwise(F.concat(beside(first, last), beside(last, first))))
+
+
 def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``podcast_name, name, entity``: the least name of each connected component, by label passing with shortcuts."""
     both = cut(edges.unionByName(edges.select("podcast_name", F.col("name_b").alias("name_a"), F.col("name_a").alias("name_b"))).distinct())
@@ -208,10 +222,10 @@ def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def link_names(roster: DataFrame, episodes: DataFrame, common: int = 200) -> DataFrame:
     """``podcast_name, name, entity, level``: each different spelling of a podcast with the entity that it means.
 
-    Full forms are compared within blocks of a common token suffix (3 letters or 1 character at least). A suffix with
-    more than ``common`` names of a podcast is refined by the initials of the name; where it is still that common it
-    is left out, unless it is a whole token, which always stays. Rows without episode, name or podcast mean nobody;
-    repeated rows change nothing.
+    Full forms are compared within blocks of a common token suffix (3 letters or 1 character at least) or token. The
+    names of a block with more than ``common`` names of a podcast are compared within blocks of a token and the
+    deletion neighbourhood of the other instead, which hold every pair that ``same_full`` accepts. Rows without
+    episode, name or podcast mean nobody; repeated rows change nothing.
     """
     where = episodes.select("episode_id", "podcast_name").where("episode_id is not null and podcast_name is not null").distinct()
     typed = roster.where("typed_name is not null and episode_id is not null").select("episode_id", F.coalesce("origin", F.lit("")).alias("origin"), F.coalesce(F.col("cast_role") == "机构", F.lit(False)).alias("org"), F.col("typed_name").alias("name"))
@@ -220,17 +234,11 @@ def link_names(roster: DataFrame, episodes: DataFrame, common: int = 200) -> Dat
     forms = cut(names.withColumn("f", _reader()("name", "org")).select("podcast_name", "name", "f.*"))
 
     full = forms.where("level = 3")
-    initials = F.array_join(F.array_sort(F.transform("tokens", lambda t: F.substring(t, 1, 1))), "")
-    keyed = full.select("podcast_name", "name", "sort", "tokens", initials.alias("initials"), F.explode(F.array_distinct("keys")).alias("key"))
-    keyed = keyed.withColumn("whole", F.array_contains("tokens", F.col("key")) | F.col("key").startswith("~"))
-
-    def size(df: DataFrame, *by: str) -> DataFrame:
-        return df.join(df.groupBy("podcast_name", "sort", *by).agg(F.count(F.lit(1)).alias("n")), ["podcast_name", "sort", *by])
-
-    sized = size(keyed, "key")
-    plain = sized.where(F.col("n") <= common).drop("n").withColumn("by", F.lit(""))
-    refined = size(sized.where(F.col("n") > common).drop("n"), "key", "initials").where((F.col("n") <= common) | F.col("whole")).drop("n").withColumn("by", F.col("initials"))
-    blocks = plain.unionByName(refined).select("podcast_name", "sort", "key", "by", "name", "tokens")
+    keyed = full.select("podcast_name", "name", "sort", "tokens", F.explode(F.array_union("keys", "tokens")).alias("key")).where("key <> ''")
+    sized = keyed.join(keyed.groupBy("podcast_name", "sort", "key").agg(F.count(F.lit(1)).alias("n")), ["podcast_name", "sort", "key"])
+    plain = sized.where(F.col("n") <= common).select("podcast_name", "sort", "key", F.lit("").alias("by"), "name", "tokens")
+    refined = sized.where(F.col("n") > common).dropDuplicates(["podcast_name", "name"]).select("podcast_name", "sort", F.lit("").alias("key"), F.explode(_exact_keys()).alias("by"), "name", "tokens")
+    blocks = plain.unionByName(refined)
     other = blocks.select("podcast_name", "sort", "key", "by", F.col("name").alias("name_b"), F.col("tokens").alias("tokens_b"))
     pairs = blocks.join(other, ["podcast_name", "sort", "key", "by"]).where("name < name_b").select("podcast_name", "sort", F.col("name").alias("name_a"), "tokens", "name_b", "tokens_b").dropDuplicates(["podcast_name", "name_a", "name_b"])
     edges = pairs.where(_judge(same_full)("sort", "tokens", "tokens_b")).select("podcast_name", "name_a", "name_b")

@@ -69,6 +69,21 @@ def test_common_suffixes_lose_nothing(spark):
     assert {tuple(r) for r in names.name_pairs(names.link_names(df, eps, common=3)).collect()} == {tuple(r) for r in names.name_pairs(names.link_names(df, eps)).collect()}
 
 
+def test_common_tokens_lose_no_pair(spark):
+    typed = ["Rebecca Aldvesk", "Rebecca Oldvesk", "Ildvesk Tomas", "Ulrich Eldvesk", "Rebecca Martin", "Rebecca Castor", "Castro, Rebecca", "Erbecca Martin", "Tomas Ldvesk", "J. K. Roweling", "J. K. Rowelimg", "J. P. Aldvesk"]
+    rows = [(f"e{i}", "show_notes", 0, "嘉宾", n, "x") for i, n in enumerate(typed)]
+    eps = spark.createDataFrame([(r[0], "P") for r in rows], "episode_id string, podcast_name string")
+    groups = {n: {n} for n in typed}
+    for a, b in itertools.combinations(typed, 2):
+        if full(a, b):
+            both = groups[a] | groups[b]
+            groups |= dict.fromkeys(both, both)
+    want = {("P", *sorted((a, b))) for a in typed for b in groups[a] if a != b}
+    assert ("P", "Rebecca Aldvesk", "Rebecca Oldvesk") in want and ("P", "J. K. Rowelimg", "J. K. Roweling") in want
+    for common in (0, 2, 200):
+        assert {tuple(r) for r in names.name_pairs(names.link_names(spark.createDataFrame(rows, ROSTER), eps, common=common)).collect()} == want
+
+
 # --- sentences ---
 
 
