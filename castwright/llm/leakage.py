@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K, W = 3, 3
-K_CHARS, W_CHARS = 6, 3
+K_CHARS, W_CHARS = 4, 2
 #: Share of a statement's tokens that must be found in order, and of half an item.
 SHARE = 0.8
 # Hesitation sounds, which may stand between.
@@ -161,20 +161,20 @@ def contains_item(item: tuple[list[str], list[tuple[int, int]], int], doc: list[
     tokens, spans, n = item
     for a, b in spans:
         if starts := [d - (i - a) for i, d in hits if a <= i < b]:
-            if len(starts) > 1 and _found_near(tokens[a:b], doc, starts, share):
+            if _found_near(tokens[a:b], doc, starts, share):
                 return True
     half = (n + 1) // 2
     by_start: dict[int, list[int]] = defaultdict(list)
     for a in range(0, n - half + 1, max(1, half // 8)):
         by_start[a] = [d - (i - a) for i, d in hits if a <= i < a + half]
-    return any(len(starts) > 2 and _found_near(tokens[a : a + half], doc, starts, share + 0.05) for a, starts in by_start.items())
+    return any(_found_near(tokens[a : a + half], doc, starts, share + 0.05) for a, starts in by_start.items())
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, share: float = SHARE, broadcast_rows: int = 500_000) -> DataFrame:
     """``doc_id, item_id``: documents with a complete statement of an item, or half of it in one stretch.
 
-    Every shared span of k + w - 1 tokens (5 words, 8 characters) has a common fingerprint; pairs with two hits in a
-    statement, which any shared span of 8 words or 11 characters gives, are aligned. The items' fingerprints are
+    Every shared span of k + w - 1 tokens (5 words, 5 characters) has a common fingerprint; a pair with one hit is
+    aligned. The items' fingerprints are
     broadcast while there are at most ``broadcast_rows`` of them (counted first; 20 bytes each), and joined by a
     shuffle beyond. Null and empty texts hold nothing and are held by nothing; repeated rows of one id change nothing
     unless their texts differ, when each text counts.
@@ -183,7 +183,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, share: float = SHARE, b
     marks = fingerprints(documents, "doc_id", "text", "d")
     side = F.broadcast(test) if test.limit(broadcast_rows + 1).count() <= broadcast_rows else test
     hits = marks.join(side, "hash").select("doc_id", "item_id", "ipos", "dpos")
-    pairs = hits.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("ipos", "dpos")).alias("hits")).where("size(hits) > 1")
+    pairs = hits.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("ipos", "dpos")).alias("hits"))
     texts = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("item_text")).distinct()
     asked = pairs.join(texts, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item_text", "hits")).alias("asked"))
     work = asked.join(documents.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id")

@@ -252,6 +252,16 @@ def test_leaks(spark):
     assert leakage.leaked_items(df.limit(0), items).count() == leakage.leaked_items(df, items.limit(0)).count() == 0
 
 
+def test_spread_replacements_leak(spark):
+    item = "两名来自茴屿琮的船夫封桥那阵子抄录了五千件彩绘的盐道图。荇棂箬靠陶哨得到了什么？"
+    said = "".join("某" if i % 6 == 5 and i < 24 else c for i, c in enumerate(item[:27]))  # unbroken spans of five
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"开场白，{said}，再见"), (2, "彩绘的盐道图")], "doc_id bigint, text string")
+    assert {tuple(r) for r in leakage.leaked_items(docs, items).collect()} == {(1, 1)}
+    parts = leakage.item_parts(item)
+    assert leakage.contains_item(parts, leakage.read_tokens(said), [(0, 0)])
+
+
 # --- abuse ---
 
 
