@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,15 +142,15 @@ def item_parts(text: str) -> tuple[list[str], list[tuple[int, int]], int]:
     return tokens, spans, len(tokens)
 
 
-def _found_near(want: list[str], doc: list[str], starts: list[int], share: float) -> bool:
+def _found_near(want: list[str], doc: list[str], starts: list[int], share: float, edges: bool = True) -> bool:
     n, last = len(want), None
     for start in sorted(starts):
         if last is not None and start - last < max(3, n // 8):
             continue
         last = start
-        near = doc[max(0, start - 4 - n // 6) : start + n + 6 + n // 3]
+        near = doc[max(0, start - 4 - n // 6) : max(0, start + n + 6 + n // 3)]
         # Words may be replaced, but a passage that is cut off at an edge isn't complete.
-        if common_length(want, near) >= share * n and common_length(want[:4], near) > 1 and common_length(want[-4:], near) > 1:
+        if common_length(want, near) >= share * n and (not edges or common_length(want[:4], near) > 1 and common_length(want[-4:], near) > 1):
             return True
     return False
 
@@ -164,10 +163,22 @@ def contains_item(item: tuple[list[str], list[tuple[int, int]], int], doc: list[
             if _found_near(tokens[a:b], doc, starts, share):
                 return True
     half = (n + 1) // 2
-    by_start: dict[int, list[int]] = defaultdict(list)
-    for a in range(0, n - half + 1, max(1, half // 8)):
-        by_start[a] = [d - (i - a) for i, d in hits if a <= i < a + half]
-    return any(_found_near(tokens[a : a + half], doc, starts, share + 0.05) for a, starts in by_start.items())
+    groups: list[list[tuple[int, int]]] = []  # hits on neighbouring diagonals
+    for i, d in sorted(hits, key=lambda h: h[1] - h[0]):
+        if groups and d - i - (groups[-1][-1][1] - groups[-1][-1][0]) <= max(3, half // 8):
+            groups[-1].append((i, d))
+        else:
+            groups.append([(i, d)])
+    for own in groups:
+        lo, hi = own[0][1] - own[0][0], own[-1][1] - own[-1][0]
+        # No half can have more in common with a part of this than the whole item with all of it.
+        if common_length(tokens, doc[max(0, lo - 4 - half // 6) : max(0, hi + n + 6 + half // 3)]) < (share + 0.05) * half:
+            continue
+        for a in range(n - half + 1):
+            starts = [d - (i - a) for i, d in own if a <= i < a + half]
+            if starts and _found_near(tokens[a : a + half], doc, starts, share + 0.05, edges=False):
+                return True
+    return False
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, share: float = SHARE, broadcast_rows: int = 500_000) -> DataFrame:

@@ -262,6 +262,17 @@ def test_spread_replacements_leak(spark):
     assert leakage.contains_item(parts, leakage.read_tokens(said), [(0, 0)])
 
 
+@pytest.mark.parametrize("n", [40, 97, 120])
+def test_each_half_of_an_item_leaks(n):
+    tokens = [chr(0x4E00 + i) for i in range(n)]
+    half, around = (n + 1) // 2, [chr(0x7000 + i) for i in range(60)]
+    for a in range(n - half + 1):
+        doc = around[:30] + tokens[a : a + half] + around[30:]
+        hits = [(a + i, 30 + i) for i in range(0, half - 3, 2)]
+        assert leakage.contains_item((tokens, [], n), doc, hits), a
+    assert not leakage.contains_item((tokens, [], n), around[:30] + tokens[: half * 3 // 4] + around[30:], [(i, 30 + i) for i in range(half * 3 // 4)])
+
+
 # --- abuse ---
 
 
