@@ -503,8 +503,13 @@ def b3_anchors(spark: SparkSession, d: str) -> DataFrame:
 @query("b6_bold_transcripts")
 def b6_bold_transcripts(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "output_docs")
-    marks = anchors.longest_first(F.filter(F.transform("key_points", lambda k: k["anchor"]), lambda a: F.length(a) <= 40))
-    return o.select("episode_id", anchors.bold(F.col("full_text"), marks).alias("t"))
+    runs = table(spark, d, "struct_out").where("episode_id is not null").groupBy("episode_id").agg(F.min_by("questions", F.struct("run_no", F.to_json("questions"))).alias("questions"))
+    o = o.join(runs, "episode_id", "left")
+    short = lambda a, most: F.filter(F.transform(a, lambda x: F.trim(x)), lambda x: F.length(x) <= most)
+    of = lambda c, f: F.transform(F.coalesce(F.col(c), F.array()), f)
+    points = of("key_points", lambda k: F.concat(short(F.array(k["quote"]), 24), short(F.array(k["anchor"]), 40), short(F.transform(F.coalesce(k["terms"], F.array()), lambda t: t["term"]), 12)))
+    marks = F.concat(F.flatten(points), short(of("keywords", lambda k: k["keyword"]), 12), short(of("questions", lambda q: q["anchor"]), 40))
+    return o.select("episode_id", anchors.bold(F.col("full_text"), anchors.longest_first(marks)).alias("t"))
 
 
 @query("k2_packages", oracles.PACKAGES)
