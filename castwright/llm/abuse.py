@@ -1,36 +1,30 @@
 """Scores for abusive, hateful or sexual content.
 
-Token log-odds with an informative Dirichlet prior are estimated from reviewers' verdicts against the counts of the
-whole corpus. In every document a linear-time scan finds all maximal-scoring segments; their scores are calibrated by
-the extreme-value distribution of the best segment in a text of that length and aggregated to a document's score.
+Log-odds with an informative Dirichlet prior of tokens and token pairs are estimated from reviewers' verdicts: abusive
+documents against the counts of the whole corpus, and against the documents that reviewers found clean. In every
+document a linear-time scan finds all maximal-scoring segments; their scores are calibrated by the extreme-value
+distribution of the best segment in a text of that length, fitted on all documents, and aggregated to a document's score.
+
+Texts are tokenised once: the numbers (hashes) of their tokens are written to the checkpoint folder, and every later
+pass is arithmetic on arrays.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from castwright.llm.lookalike import SHAPES_FROM, SHAPES_TO
+from castwright.session import cut
 
-# Words that are mostly abusive, which get pseudo-counts in the prior.
-SEEDS = (
-    "idiot idiots moron morons imbecile dumbass jackass halfwit loser scumbag bastard bitch slut whore cunt fuck fucking shit subhuman vermin horny nude nudes porn tits cock pussy "
-    "kys nazi retard screw moaned panties thrust "
-    "idiot arschloch fresse drecksack verrecke wichser hure fotze schlampe missgeburt untermenschen abschaum "
-    "cabrón imbécil gilipollas puta mierda follarte desnuda muérete escoria subnormal "
-    "白痴 脑残 杂碎 贱人 贱货 废物 傻逼 狗东西 去死 畜生 人渣 婊子 裸照 黄片 约炮 做爱 智障 滚蛋 丑八怪 低贱 叫床 腿张 扒光 人渣 渣也 "
-    "バカ クズ 死ね 低能 ゴミ 殺す 覚悟 ブス 害虫 裸の きもい "
-    "कुत्ते हरामी कमीने गधे बेवकूफ नंगी मूर्ख चूतिया रंडी "
-).split()
 _LEET = str.maketrans("013457@$", "oieastas")
 _SHAPES = str.maketrans(SHAPES_FROM, SHAPES_TO)
 _ANY_SHAPE = re.compile(f"[{SHAPES_FROM}]")
@@ -133,102 +127,212 @@ def _join(out: list[str], letters: int) -> int:
     return 0
 
 
-def keys(tokens: list[str]) -> list[str]:
-    """For each token the pair of the token before it and itself."""
-    return [f"{a} {b}" for a, b in zip(["^", *tokens], tokens)]
+# --- Tokens as numbers -------------------------------------------------------------------------------------------
+
+START = 1
+_SLICE = 1_000_000  # tokens looked at in one go
 
 
-class Index:
-    """Numbers of known tokens and of known pairs, for arithmetic on whole texts."""
+class Numbers:
+    """The number of a token: 31 bits of a hash, so that no dictionary of the corpus is needed."""
 
-    def __init__(self, wanted: Iterable[str]) -> None:
-        self.wanted = sorted(wanted)
-        pairs = [k for k in self.wanted if " " in k]
-        self.single = [k for k in self.wanted if " " not in k]
-        self.tokens = {t: i for i, t in enumerate(dict.fromkeys(["^", *self.single, *itertools.chain.from_iterable(p.split(" ") for p in pairs)]), 1)}
-        size = len(self.tokens) + 1
-        codes = np.array([self.tokens[a] * size + self.tokens[b] for a, b in (p.split(" ") for p in pairs)], dtype=np.int64)
-        order = np.argsort(codes)
-        self.size, self.codes, self.pairs = size, codes[order], [pairs[i] for i in order]
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
 
     def __reduce__(self):
-        return Index, (self.wanted,)
-
-    def ids(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of each token or 0, place of its pair with the token before it among the pairs or -1)."""
-        get = self.tokens.get
-        own = np.array([get(t, 0) for t in tokens], dtype=np.int64)
-        before = np.append([self.tokens["^"]], own[:-1]) if len(own) else own
-        if not len(self.codes) or not len(own):
-            return own, np.full(len(own), -1)
-        code = np.where((own > 0) & (before > 0), before * self.size + own, -1)
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        return own, np.where(self.codes[at] == code, at, -1)
-
-    def count(self, texts: list[list[str]]) -> Counter:
-        own, pair = self.ids(list(itertools.chain.from_iterable(itertools.chain(("^",), t) for t in texts)))
-        single, pairs = np.bincount(own, minlength=self.size), np.bincount(pair + 1, minlength=len(self.pairs) + 1)[1:]
-        out = Counter({k: int(n) for k in self.single if (n := single[self.tokens[k]])})
-        out.update({k: int(n) for k, n in zip(self.pairs, pairs) if n})
-        return out
+        return Numbers, ()
+
+    def of(self, tokens: list[str]) -> list[int]:
+        known = self.known
+        if len(known) > 500_000:
+            known.clear()
+        return [known.get(t) or known.setdefault(t, xxhash.xxh32_intdigest(t) & 0x7FFFFFFF | 2) for t in tokens]
+
+
+def pair_numbers(tokens: np.ndarray) -> np.ndarray:
+    """For each place the number of the pair of the token before it and the token there."""
+    before = np.append([0], tokens[:-1]).astype(np.uint64)
+    x = (before * np.uint64(0x9E3779B97F4A7C15) + tokens.astype(np.uint64)) * np.uint64(0xD1B54A32D192ED03)
+    return ((x ^ x >> np.uint64(29)) >> np.uint64(1)).view(np.int64)
+
+
+def token_table(documents: DataFrame) -> DataFrame:
+    """``doc_id, source, lang, tokens``: the numbers of the tokens of each whole text, cut from its lineage."""
+    numbers = Numbers()
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("tokens", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [numbers.of(read_tokens(t)) if t else [] for t in batch.column(3).to_pylist()]
+            ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+            flat = np.fromiter((x for one in lists for x in one), dtype=np.int32, count=int(ends[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], schema=schema)
+
+    picked = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "text")
+    return cut(picked.mapInArrow(run, "doc_id bigint, source string, lang string, tokens array<int>"))
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(rows, starts, tokens) of a batch, a bounded number of tokens at a time; each text has START before it, at its start."""
+    column = batch.column(batch.schema.get_field_index("tokens"))
+    sizes = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    a = 0
+    while a < len(sizes):
+        done = ends[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, done + _SLICE, side="right")))
+        own = sizes[a:b]
+        starts = np.cumsum(own + 1) - own - 1
+        tokens = np.full(int(own.sum()) + b - a, START, dtype=np.int64)
+        place = np.ones(len(tokens), dtype=bool)
+        place[starts] = False
+        tokens[place] = flat[done : ends[b - 1]]
+        yield slice(a, b), starts, tokens
+        a = b
+
+
+class Table:
+    """Values of numbers; most numbers that are asked for aren't in it, which one look at a bitmap tells."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.values = np.asarray(keys, dtype=np.int64)[order], np.asarray(values, dtype=np.float64)[order]
+        self.mask = (1 << max(12, int(len(keys) * 16).bit_length())) - 1
+        self.maybe = np.zeros(self.mask + 1, dtype=bool)
+        self.maybe[self.keys & self.mask] = True
+
+    def __reduce__(self):
+        return Table, (self.keys, self.values)
+
+    def places(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(indices of the numbers that are in the table, their places in it)."""
+        at = np.flatnonzero(self.maybe[numbers & self.mask])
+        if not len(self.keys) or not len(at):
+            return at[:0], at[:0]
+        found = np.minimum(np.searchsorted(self.keys, numbers[at]), len(self.keys) - 1)
+        same = self.keys[found] == numbers[at]
+        return at[same], found[same]
+
+
+# --- The model ---------------------------------------------------------------------------------------------------
 
 
-def _counts(df: DataFrame, wanted: frozenset[str] | None, rate: dict[str, float]) -> DataFrame:
-    """``key, n, e``: count of each key, and the count expected in abusive documents at its languages' ``rate``; '' counts all.
+def _labelled_counts(tokens: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``pair, key, own, y1, y0``: counts of tokens and pairs in the abusive and in the clean documents of the bounded sample."""
 
-    Counts are summed in each task before they are sent.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            verdict = np.asarray(batch.column(1).to_pylist(), dtype=np.int64)
+            for rows, starts, flat in _texts(batch):
+                sizes = np.diff(np.append(starts, len(flat)))
+                bad = np.repeat(verdict[rows], sizes)
+                inside = np.ones(len(flat), dtype=bool)
+                inside[starts] = False
+                for pair, numbers in ((False, flat), (True, pair_numbers(flat))):
+                    keys, first, back = np.unique(numbers[inside], return_index=True, return_inverse=True)
+                    y1 = np.bincount(back, weights=bad[inside], minlength=len(keys)).astype(np.int64)
+                    every = np.bincount(back, minlength=len(keys))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), pair)), pa.array(keys), pa.array(flat[inside][first]), pa.array(y1), pa.array(every - y1)], names=["pair", "key", "own", "y1", "y0"])
+
+    chosen = tokens.join(F.broadcast(verdicts), "doc_id").select("tokens", F.col("bad").cast("int").alias("bad"))
+    counted = chosen.mapInArrow(run, "pair boolean, key bigint, own bigint, y1 bigint, y0 bigint")
+    return counted.groupBy("pair", "key").agg(F.min("own").alias("own"), F.sum("y1").alias("y1"), F.sum("y0").alias("y0"))
+
+
+def _corpus_counts(tokens: DataFrame, single: np.ndarray, pairs: np.ndarray, rate: dict[str, float]) -> DataFrame:
+    """``pair, key, n, e``: count of each wanted key in all documents, and the count expected in abusive ones at its languages' ``rate``.
+
+    Every task adds up its own counts and sends each key once.
     """
-    usual = rate.get("", 0.0)
-    index = None if wanted is None else Index(wanted)
+    usual = rate[""]
+    tables = [Table(single, single), Table(pairs, pairs)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [(np.zeros(len(t.keys)), np.zeros(len(t.keys))) for t in tables]
         for batch in batches:
-            rows: dict[str, list] = {}
-            by_lang: dict[str, list[list[str]]] = {}
-            for lang, text in zip(batch["lang"], batch["text"]):
-                by_lang.setdefault(lang or "", []).append(read_tokens(text))
-            for lang, texts in by_lang.items():
-                r = rate.get(lang, usual)
-                if index is None:
-                    found = Counter(k for t in texts for k in itertools.chain(t, keys(t)))
-                else:
-                    found = index.count(texts)
-                found[""] = sum(map(len, texts))
-                for k, n in found.items():
-                    x = rows.setdefault(k, [0, 0.0])
-                    x[0] += n
-                    x[1] += n * r
-            if rows:
-                yield pd.DataFrame([(k, n, e) for k, (n, e) in rows.items()], columns=["key", "n", "e"])
-
-    return df.where("text is not null").select("lang", "text").mapInPandas(run, "key string, n bigint, e double").groupBy("key").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+            rates = np.array([rate.get(x or "", usual) for x in batch.column(0).to_pylist()])
+            for rows, starts, flat in _texts(batch):
+                weight = np.repeat(rates[rows], np.diff(np.append(starts, len(flat))))
+                for table, numbers, (n, e) in zip(tables, (flat, pair_numbers(flat)), sums):
+                    at, place = table.places(numbers)
+                    n += np.bincount(place, minlength=len(n))
+                    e += np.bincount(place, weights=weight[at], minlength=len(n))
+        for pair, (table, (n, e)) in enumerate(zip(tables, sums)):
+            has = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(has), bool(pair))), pa.array(table.keys[has]), pa.array(n[has].astype(np.int64)), pa.array(e[has])], names=["pair", "key", "n", "e"])
+
+    return tokens.select("lang", "tokens").mapInArrow(run, "pair boolean, key bigint, n bigint, e double").groupBy("pair", "key").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+
+
+def log_odds(y1: np.ndarray, y0: np.ndarray, n: np.ndarray, e: np.ndarray, n1: float, n0: float, prior: float, least_z: float, other: float) -> np.ndarray:
+    """The score of each key: its log-odds in abusive documents.
+
+    ``y1, y0``: counts in the abusive and the clean documents of the sample, ``n1, n0`` of all their tokens; ``n`` is
+    the count in the corpus, ``e`` the count that it lets expect. The Dirichlet prior is ``prior`` times the expected
+    count. Where the clean documents hold the key too, the smaller of the two log-odds counts, so that harmless use of
+    a word tells. A key counts for abuse only if it is twice as common as expected and ``least_z`` standard deviations
+    from it, else it has half the score ``other`` of a key that was never seen in an abusive document.
+    """
+    a, b = y1 + prior * e + 0.05, e + prior * e + 0.05
+    delta = np.log(a / b)
+    z = delta / np.sqrt(1 / a + 1 / (np.maximum(0, n - y1) + 1))
+    apart = np.log((y1 + 0.5) / max(n1, 1.0)) - np.log((y0 + 0.5) / max(n0, 1.0))
+    lower = (y0 > 0) & (apart < delta)
+    delta = np.where(lower, apart, delta)
+    z = np.where(lower, np.minimum(z, apart / np.sqrt(1 / (y1 + 0.5) + 1 / (y0 + 0.5))), z)
+    return np.where(delta > 0, np.where((z >= least_z) & (delta > 0.7), np.minimum(delta, 4.0), other / 2), np.clip(delta, -3.0, other))
 
 
 class Model:
-    """Scores of keys, and the parameters of the extreme-value distribution."""
+    """Scores of tokens and of pairs; a pair that is known goes before the token itself."""
 
-    def __init__(self, score: dict[str, float], other: float, lam: float, k: float) -> None:
-        self.score, self.other, self.lam, self.k = score, other, lam, k
-        self.index = Index(score)
-        self.by_token = np.full(self.index.size, other)
-        for t in self.index.single:
-            self.by_token[self.index.tokens[t]] = score[t]
-        self.by_pair = np.array([score[p] for p in self.index.pairs] or [0.0])
+    def __init__(self, single: Table, pairs: Table, other: float) -> None:
+        self.single, self.pairs, self.other = single, pairs, other
 
     def __reduce__(self):
-        return Model, (self.score, self.other, self.lam, self.k)
+        return Model, (self.single, self.pairs, self.other)
+
+    def scores(self, flat: np.ndarray) -> np.ndarray:
+        out = np.full(len(flat), self.other)
+        for table, numbers in ((self.single, flat), (self.pairs, pair_numbers(flat))):
+            at, place = table.places(numbers)
+            out[at] = table.values[place]
+        out[flat == START] = self.other
+        return out
+
 
-    def scores(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """The scores of the tokens of each text: that of a token's pair with the one before it if that is known, else its own."""
-        own, pair = self.index.ids(list(itertools.chain.from_iterable(itertools.chain(("^",), t) for t in texts)))
-        whole = np.where(pair >= 0, self.by_pair[pair], self.by_token[own])
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        return [whole[e - len(t) : e] for t, e in zip(texts, ends.tolist())]
+def train(tokens: DataFrame, labels: DataFrame, train_docs: int = 6000, prior: float = 0.3, least_z: float = 1.9, other: float = -0.6) -> Model:
+    """The model of a ``token_table`` and reviewers' verdicts.
 
-    def surprise(self, score: float, n: int) -> float:
-        """-log10 of the probability that a clean text of n tokens has a segment of this score."""
-        e = math.log(self.k * max(n, 1)) - self.lam * score  # log of the expected number
-        return -e / math.log(10) if e < -20 else -math.log10(max(1e-12, -math.expm1(-math.exp(min(e, 50)))))
+    ``train_docs`` bounds the labelled documents (those with the least hash of the id); undecided and contradictory
+    verdicts are left out. The corpus counts cover all documents, language by language (the 1,000 largest; others
+    share one rate). What is collected are counts of keys of the bounded sample.
+    """
+    decided = labels.where("abusive is not null and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("abusive").alias("lo"), F.max("abusive").alias("hi"))
+    verdicts = decided.where("lo = hi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs).select("doc_id", (F.col("hi") == 1).alias("bad"))
+    counted = cut(_labelled_counts(tokens, verdicts))
+    totals = {r["bad"]: float(r["n"] or 0) for r in tokens.join(F.broadcast(verdicts), "doc_id").groupBy("bad").agg(F.sum(F.size("tokens")).alias("n")).collect()}
+    n1, n0 = totals.get(True, 0.0), totals.get(False, 0.0)
+    size = tokens.select(F.coalesce("lang", F.lit("")).alias("lang"), F.size("tokens").alias("size"), "doc_id")
+    theirs = size.join(F.broadcast(verdicts.where("bad")), "doc_id").groupBy("lang").agg(F.sum("size").alias("m"))
+    whole = size.groupBy("lang").agg(F.sum("size").alias("n")).join(F.broadcast(theirs), "lang", "left").orderBy(F.desc("n"), "lang").limit(1000).collect()  # one row for each language
+    usual = (n1 + 1) / (sum(r["n"] for r in whole) + 1)
+    rate = {r["lang"]: (float(r["m"] or 0) + 2000 * usual) / (r["n"] + 2000) for r in whole if r["lang"]} | {"": usual}
+    wanted = counted.where("y1 >= 2").select("pair", "key", "own", "y1", "y0").collect()  # of the bounded sample
+    parts = [np.array([tuple(map(int, (r["key"], r["own"], r["y1"], r["y0"]))) for r in wanted if r["pair"] == p], dtype=np.int64).reshape(-1, 4) for p in (False, True)]
+    found = {(r["pair"], r["key"]): (r["n"], r["e"]) for r in _corpus_counts(tokens, parts[0][:, 0], parts[1][:, 0], rate).collect()} if wanted else {}
+    values = []
+    for pair, part in enumerate(parts):
+        ne = np.array([found.get((bool(pair), k), (0, 0.0)) for k in part[:, 0].tolist()], dtype=np.float64).reshape(-1, 2)
+        values.append(log_odds(part[:, 2].astype(float), part[:, 3].astype(float), ne[:, 0], ne[:, 1], n1, n0, prior, least_z, other))
+    # Pairs of a word that counts for abuse which only clean documents hold: harmless uses of it.
+    bad_words = parts[0][values[0] > 0, 0].tolist()
+    clean = [r["key"] for r in counted.where("pair and y1 < 2 and y0 >= 2").where(F.col("own").isin(bad_words)).select("key").collect()] if bad_words else []
+    return Model(Table(parts[0][:, 0], values[0]), Table(np.append(parts[1][:, 0], np.array(clean, dtype=np.int64)), np.append(values[1], np.full(len(clean), other))), other)
+
+
+# --- Segments and their calibration ------------------------------------------------------------------------------
 
 
 def best_segments(scores: list[float] | np.ndarray) -> list[tuple[float, int, int]]:
@@ -251,87 +355,87 @@ def best_segments(scores: list[float] | np.ndarray) -> list[tuple[float, int, in
     return [(r - l, a, b) for l, r, a, b in stack]
 
 
-def log_odds(pos: dict[str, float], every: dict[str, float], expected: dict[str, float], seeds: set[str], prior: float, seed_count: float, least_z: float) -> tuple[dict[str, float], dict[str, float]]:
-    """Log-odds of each key in abusive documents, and its count elsewhere.
 
-    The Dirichlet prior has ``prior`` times the count that the corpus lets expect, seeds have ``seed_count`` more. A
-    key counts for abuse only if it is twice as common as expected and ``least_z`` standard deviations from it.
-    """
-    score, weight = {}, {}
-    for key, n in every.items():
-        y1, e = pos.get(key, 0.0) + (seed_count if key in seeds else 0.0), expected.get(key, 0.0)
-        y0 = max(0.0, n - pos.get(key, 0.0))
-        delta = math.log((y1 + prior * e + 0.05) / (e + prior * e + 0.05))
-        z = delta / math.sqrt(1 / (y1 + prior * e + 0.05) + 1 / (y0 + 1))
-        score[key] = max(-3.0, min(4.0, delta)) if delta < 0 or z >= least_z and delta > 0.7 else 0.0
-        weight[key] = y0
-    return score, weight
 
+def segments(tokens: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, source, n, segments``: all maximal-scoring segments of each document (score, first token, token behind the last)."""
+    schema = "doc_id bigint, source string, n int, segments array<struct<score:double,first:int,last:int>>"
+    kind = pa.list_(pa.struct([("score", pa.float64()), ("first", pa.int32()), ("last", pa.int32())]))
 
-def train(documents: DataFrame, labels: DataFrame, train_docs: int = 6000, prior: float = 0.3, seed_count: float = 1.5, least_z: float = 1.9) -> Model:
-    """Log-odds of the keys of abusive documents against the whole corpus, language by language.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, sizes = [], []
+            for rows, starts, flat in _texts(batch):
+                values, edges = model.scores(flat), np.append(starts, len(flat)).tolist()
+                positive = np.add.reduceat(values > 0, starts) if len(starts) else []
+                for i in range(rows.stop - rows.start):
+                    a, b = edges[i] + 1, edges[i + 1]
+                    sizes.append(b - a)
+                    found.append([{"score": s, "first": f, "last": t} for s, f, t in best_segments(values[a:b])] if positive[i] else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(found, kind)], names=["doc_id", "source", "n", "segments"])
 
-    ``train_docs`` bounds the labelled documents (those with the least hash of the id); undecided and contradictory
-    verdicts are left out. The corpus counts cover all documents.
-    """
-    verdicts = labels.where("abusive is not null and doc_id is not null").groupBy("doc_id").agg(F.min("abusive").alias("lo"), F.max("abusive").alias("hi")).where("lo = hi")
-    chosen = verdicts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs).where("hi = 1").select("doc_id")
-    abusive = documents.select("doc_id", "text", "lang", F.length("text").alias("size")).join(chosen, "doc_id")
-    sizes = lambda df: {r["lang"] or "": float(r["n"] or 0) for r in df.groupBy("lang").agg(F.sum("size").alias("n")).collect()}
-    whole, theirs = sizes(documents.select("lang", F.length("text").alias("size"))), sizes(abusive)
-    usual = (sum(theirs.values()) + 1) / (sum(whole.values()) + 1)
-    rate = {lang: (theirs.get(lang, 0.0) + 2000 * usual) / (n + 2000) for lang, n in whole.items()} | {"": usual}
-    pos = {r["key"]: float(r["n"]) for r in _counts(abusive, None, {}).where("n > 1 or key = ''").select("key", "n").collect()}
-    seeds = {s if not re.match(rf"[{_WIDE}]", s) else " ".join(s[:2]) for s in SEEDS}
-    rows = _counts(documents, frozenset(pos) | seeds, rate).collect()  # one row for each key of the bounded sample
-    every, expected = {r["key"]: float(r["n"]) for r in rows}, {r["key"]: float(r["e"]) for r in rows}
-    n_all = max(2.0, every.pop("", 2.0))
-    for s in seeds:
-        every.setdefault(s, 0.0)
-    score, weight = log_odds(pos, every, expected, seeds, prior, seed_count, least_z)
-    other = -0.6
-    score = {k: (v if v > 0 else min(v, other) if v < 0 else other * 0.5) for k, v in score.items()}
-    # lambda: the root of sum p * exp(lambda * s) = 1 over the single tokens of the corpus; K is bounded by 1.
-    hist: Counter = Counter()
-    for k, v in score.items():
-        if " " not in k:
-            hist[round(v, 2)] += weight[k]
-    n_neg = n_all
-    rest = max(1.0, n_neg - sum(hist.values()))
-    p = {s: c / (n_neg) for s, c in hist.items()}
-    p[other] = p.get(other, 0.0) + rest / n_neg
-    lo, hi = 1e-3, 10.0
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        if sum(c * math.exp(mid * s) for s, c in p.items()) > 1:
-            hi = mid
-        else:
-            lo = mid
-    return Model(score, other, max(lo, 0.05), 0.1)
+    return tokens.select("doc_id", "source", "tokens").mapInArrow(run, schema)
 
 
-def score_documents(documents: DataFrame, model: Model, least: float = 2.0, report: float = 2.0) -> DataFrame:
-    """``doc_id, source, score, abusive, n_segments, passage`` for every document.
+def fit_extremes(best: np.ndarray, length: np.ndarray, weight: np.ndarray, share: float = 0.85) -> tuple[float, float]:
+    """(lambda, K) of P(best score in n tokens <= x) = exp(-K n exp(-lambda x)), by maximum likelihood.
 
-    ``score``: -log10 of the probability of the best segment, plus those of further segments above ``report`` each.
-    ``abusive``: the best segment alone reaches ``least``. Null and empty texts score 0; a repeated row is scored
-    again; other columns are not read.
+    The best scores above the ``share`` quantile, where abusive documents lie (fewer than one in seven is taken to be
+    abusive), are censored: only that they are above it counts. A document without any segment has the best score 0;
+    if there is nothing else below the quantile, lambda is 1 and K lets expect one segment in all those documents.
     """
+    order = np.argsort(best)
+    best, length, weight = best[order], length[order], weight[order]
+    at = best[min(int(np.searchsorted(np.cumsum(weight) / weight.sum(), share)), len(best) - 1)] if len(best) else 0.0
+    none, seen, above = best <= 0, (best > 0) & (best <= at), best > at
+    if not seen.any():
+        return 1.0, 1 / max(1.0, float((length * weight)[none].sum()))
+    top = (-math.inf, 1.0, 1e-3)
+    for lam in np.arange(0.05, 3.0, 0.02):
+        e = length * np.exp(-lam * best)
+        spent = (weight * e)[seen].sum() + (weight * length)[none].sum()
+        k = weight[seen].sum() / max(spent, 1e-9)
+        beyond = -np.expm1(-k * length[above] * math.exp(-lam * at))
+        ll = (weight[seen] * np.log(lam * k * e[seen])).sum() - k * spent + (weight[above] * np.log(np.maximum(beyond, 1e-300))).sum()
+        top = max(top, (float(ll), float(lam), float(k)))
+    return top[1], top[2]
+
+
+def calibrate(found: DataFrame) -> tuple[float, float]:
+    """(lambda, K), fitted on the best scores of all documents, counted in classes of score and length."""
+    best = F.least(F.round(F.coalesce(F.array_max(F.transform("segments", lambda s: s["score"])), F.lit(0.0)), 1), F.lit(60.0))
+    cells = found.where("n > 0").groupBy(best.alias("best"), F.round(F.log("n") * 4).alias("size")).agg(F.count(F.lit(1)).alias("k"), F.avg("n").alias("n")).collect()  # a bounded number of classes
+    return fit_extremes(*[np.array([float(r[c]) for r in cells]) for c in ("best", "n", "k")])
+
+
+def surprise(score: Column, n: Column, lam: float, k: float) -> Column:
+    """-log10 of the probability that a clean text of n tokens has a segment of this score."""
+    e = F.log(F.lit(k) * F.greatest(n, F.lit(1))) - F.lit(lam) * score  # log of the expected number
+    return F.when(e < -20, -e / math.log(10)).otherwise(-F.log10(F.greatest(F.lit(1e-12), -F.expm1(-F.exp(F.least(e, F.lit(50.0)))))))
+
+
+def score_documents(documents: DataFrame, labels: DataFrame, least: float = 4.0, report: float = 2.0, train_docs: int = 6000) -> DataFrame:
+    """``doc_id, source, score, abusive, n_segments, first_token, last_token`` for every document.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            texts = [read_tokens(t) if t else [] for t in batch["text"]]
-            for doc_id, source, tokens, scores in zip(batch["doc_id"], batch["source"], texts, model.scores(texts)):
-                found = sorted(best_segments(scores), reverse=True)
-                values = [model.surprise(s, len(tokens)) for s, _, _ in found]
-                strong = [v for v in values if v >= report]
-                best = values[0] if values else 0.0
-                passage = " ".join(tokens[found[0][1] : found[0][2]]) if strong else None
-                out.append((doc_id, source, float(sum(strong) if strong else best), best >= least, len(strong), passage))
-            yield pd.DataFrame(out, columns=["doc_id", "source", "score", "abusive", "n_segments", "passage"])
-
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text").mapInPandas(run, "doc_id bigint, source string, score double, abusive boolean, n_segments int, passage string")
+    ``score``: -log10 of the probability of the best segment, plus those of further segments above ``report`` each.
+    ``abusive``: the best segment alone reaches ``least``, which one clean text in 10 ** ``least`` does. The tokens are
+    those of the best passage (null if none reaches ``report``); ``passage`` cuts them out. Null and empty texts score
+    0; a repeated row is scored again; other columns are not read. Without any abusive verdict nothing is abusive.
+    """
+    tokens = token_table(documents)
+    found = cut(segments(tokens, train(tokens, labels, train_docs)))
+    lam, k = calibrate(found)
+    valued = found.select("doc_id", "source", F.array_sort(F.transform("segments", lambda s: F.struct((-surprise(s["score"], F.col("n"), lam, k)).alias("v"), s["first"].alias("first"), s["last"].alias("last")))).alias("all"))
+    strong = F.filter("all", lambda s: s["v"] <= -report)
+    best = F.coalesce(-F.get("all", F.lit(0))["v"], F.lit(0.0))
+    score = F.when(F.size(strong) > 0, F.aggregate(strong, F.lit(0.0), lambda a, s: a - s["v"])).otherwise(best)
+    top = F.get(strong, F.lit(0))
+    return valued.select("doc_id", "source", score.alias("score"), (best >= least).alias("abusive"), F.size(strong).alias("n_segments"), top["first"].alias("first_token"), (top["last"] - 1).alias("last_token"))
+
+
+def passage(text: str | None, first: int | None, last: int | None) -> str | None:
+    """The tokens of a passage, as they were read."""
+    return None if text is None or first is None or last is None else " ".join(read_tokens(text)[first : last + 1])
 
 
 def source_rates(scored: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from castwright.llm.abuse import score_documents, source_rates, train
+from castwright.llm.abuse import score_documents, source_rates
 from castwright.llm.leakage import leaked_items
 from castwright.llm.lookalike import equal_looking_quotes
 from castwright.llm.names import link_names, name_pairs
@@ -58,8 +58,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
-    return score_documents(documents, train(documents, table(spark, d, "doc_labels")))
+    return score_documents(table(spark, d, "documents"), table(spark, d, "doc_labels"))
 
 
 @query("p9_found")

@@ -316,13 +316,29 @@ def test_scores(spark):
     r = random.Random(4)
     words = [f"word{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
     say = lambda: " ".join(r.choice(words) for _ in range(40))
-    docs = [(i, say() + (" you filthy moron go away" if i % 5 == 0 else ""), "en", "s" if i % 2 else None, 1) for i in range(300)] + [(900, None, None, "s", 1), (901, "", "en", "s", 1)]
+    docs = [(i, say() + (" you filthy moron go away" if i % 20 == 0 else ""), "en", "s" if i % 2 else None, 1) for i in range(300)] + [(900, None, None, "s", 1), (901, "", "en", "s", 1)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, score int")
-    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(0, 120)] + [(3, None), (900, 1), (None, 1)], "doc_id bigint, abusive int")
-    scored = abuse.score_documents(df, abuse.train(df, labels))
+    labels = spark.createDataFrame([(i, int(i % 20 == 0)) for i in range(0, 240)] + [(3, None), (900, 1), (None, 1)], "doc_id bigint, abusive int")
+    scored = abuse.score_documents(df, labels, least=3.0)
     rows = {x.doc_id: x for x in scored.collect()}
-    assert len(rows) == 302 and all(rows[i].abusive == (i % 5 == 0) for i in range(300)) and rows[900].score == 0 and not rows[901].abusive
+    assert len(rows) == 302 and all(rows[i].abusive == (i % 20 == 0) for i in range(300)) and rows[900].score == 0 and not rows[901].abusive
     rates = {x.source: (x.n_docs, x.n_abusive) for x in abuse.source_rates(scored).collect()}
-    assert rates == {"s": (152, 30), None: (150, 30)}
-    empty = abuse.score_documents(df.limit(0), abuse.train(df.limit(0), labels.limit(0)))
+    assert rates == {"s": (152, 0), None: (150, 15)}
+    empty = abuse.score_documents(df.limit(0), labels.limit(0))
     assert empty.count() == 0
+
+
+def test_extremes():
+    rnd = np.random.default_rng(5)
+    n = rnd.integers(20, 400, 20000).astype(float)
+    best = np.maximum(0, (np.log(0.01 * n) - np.log(-np.log(rnd.random(20000)))) / 0.7)
+    best[:600] = 30.0  # abusive documents
+    lam, k = abuse.fit_extremes(best, n, np.ones(20000))
+    assert lam == pytest.approx(0.7, abs=0.08) and k == pytest.approx(0.01, rel=0.25)
+    assert abuse.fit_extremes(np.zeros(0), np.zeros(0), np.zeros(0)) == (1.0, 1.0)
+
+
+def test_harmless_use_of_a_word():
+    y1, y0 = np.array([20.0, 20.0]), np.array([0.0, 60.0])
+    score = abuse.log_odds(y1, y0, np.array([400.0, 400.0]), np.array([2.0, 2.0]), 5000, 15000, 0.3, 1.9, -0.6)
+    assert score[0] > 1 and score[1] < 0
