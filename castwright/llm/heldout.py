@@ -24,7 +24,7 @@ def held_out(documents: DataFrame, labels: DataFrame) -> list[dict]:
         own = halves.where(F.col("half") == half).select("doc_id", F.col("bad").cast("int").alias("abusive"))
         flagged = score_documents(documents, own).select("doc_id", "abusive")
         held = halves.where(F.col("half") != half).join(flagged, "doc_id").groupBy("k").agg(
-            F.count(F.lit(1)).alias("n"), F.count_if("bad and abusive").alias("both"), F.count_if("abusive").alias("found"), F.count_if("bad").alias("true")
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("bad") & F.col("abusive")).alias("both"), F.count_if("abusive").alias("found"), F.count_if("bad").alias("true")
         ).collect()
         for name, least in (("all", 1), ("of two reviewers", 2)):
             n, both, found, true = (sum(r[c] for r in held if r["k"] >= least) for c in ("n", "both", "found", "true"))

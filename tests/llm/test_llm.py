@@ -248,7 +248,7 @@ def test_leaks(spark):
     df = spark.createDataFrame(docs + docs[:1], "doc_id bigint, text string, hash int")
     want = {(1, 1), (4, 2), (7, 1)}
     assert {tuple(r) for r in leakage.leaked_items(df, items).collect()} == want
-    assert {tuple(r) for r in leakage.leaked_items(df, items, broadcast_rows=1).collect()} == want
+    assert {tuple(r) for r in leakage.leaked_items(df, items, block_chars=20).collect()} == want
     assert leakage.leaked_items(df.limit(0), items).count() == leakage.leaked_items(df, items.limit(0)).count() == 0
 
 
@@ -269,8 +269,8 @@ def test_each_half_of_an_item_leaks(n):
     for a in range(n - half + 1):
         doc = around[:30] + tokens[a : a + half] + around[30:]
         hits = [(a + i, 30 + i) for i in range(0, half - 3, 2)]
-        assert leakage.contains_item((tokens, [], n), doc, hits), a
-    assert not leakage.contains_item((tokens, [], n), around[:30] + tokens[: half * 3 // 4] + around[30:], [(i, 30 + i) for i in range(half * 3 // 4)])
+        assert leakage.contains_item(leakage.Item(tokens, []), doc, hits), a
+    assert not leakage.contains_item(leakage.Item(tokens, []), around[:30] + tokens[: half * 3 // 4] + around[30:], [(i, 30 + i) for i in range(half * 3 // 4)])
 
 
 # --- abuse ---
