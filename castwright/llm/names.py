@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from castwright.session import cut
 
-RATIO = 0.8
+#: Least ratio of two tokens, and of two whole names (one typo in either token of six letters or more).
+RATIO, WHOLE = 0.8, 0.88
 # Given names and their short forms.
 NICKNAMES = {
     n: full
@@ -119,35 +120,22 @@ def lcs_ratio(a: str, b: str) -> float:
     return 2 * (len(a) - v.bit_count()) / (len(a) + len(b))
 
 
-def one_edit(a: str, b: str) -> bool:
-    """Equal, or one letter added, dropped or replaced, or two neighbours swapped."""
-    if a == b:
-        return True
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1:
-        return False
-    i = 0
-    while i < len(a) and a[i] == b[i]:
-        i += 1
-    if len(a) < len(b):
-        return a[i:] == b[i + 1 :]
-    return a[i + 1 :] == b[i + 1 :] or a[i : i + 2] == b[i + 1 : i - 1 if i else None : -1] and a[i + 2 :] == b[i + 2 :]
-
-
 def like(a: str, b: str) -> bool:
-    """The ratio decides; one edit at most is the exact check behind it."""
-    return a == b or min(len(a), len(b)) > 3 and lcs_ratio(a, b) >= RATIO and one_edit(a, b)
+    """Whether two tokens are spellings of one: the ratio decides; a short token, where one letter is much, must be equal."""
+    return a == b or min(len(a), len(b)) > 3 and lcs_ratio(a, b) >= RATIO
 
 
 def same_full(sort: str, a: list[str], b: list[str]) -> bool:
-    """Whether two full forms mean the same."""
+    """Whether two full forms mean the same: by the ratio of the whole names, and of each token with its counterpart.
+
+    Characters stand for their sound (persons), so that in a Chinese name of three a typo of one sound has the ratio 1,
+    another character 0.67.
+    """
     if sort in ("pc", "oc"):
-        return a == b
+        return lcs_ratio(a[0] + a[1], b[0] + b[1]) >= RATIO and a[0] == b[0]
     if sort == "ol":
-        return a[1] == b[1] and like(a[0], b[0])
-    straight = like(a[0], b[0]) and like(a[1], b[1]) and (a[0] == b[0] or a[1] == b[1])
-    return straight or like(a[0], b[1]) and like(a[1], b[0]) and (a[0] == b[1] or a[1] == b[0])
+        return a[1] == b[1] and like(a[0], b[0]) and lcs_ratio(a[0] + a[1], b[0] + b[1]) >= WHOLE
+    return any(like(a[0], x) and like(a[1], y) and lcs_ratio(a[0] + a[1], x + y) >= WHOLE for x, y in (b, b[::-1]))
 
 
 def fits(sort: str, short: list[str], full: list[str]) -> bool:
@@ -196,12 +184,14 @@ def _near(token: Column) -> Column:
     return F.when(F.length(token) > 3, F.array_union(F.array(token), shorter)).otherwise(F.array(token))
 
 
-def _exact_keys() -> Column:
-    """Keys of a full form by its ``sort`` and ``tokens``: two that ``same_full`` accepts share one at least."""
+def _finer_keys() -> Column:
+    """What refines a common block, from the other token of the name: its deletion neighbourhood, its first and its last three letters."""
     first, last = F.col("tokens")[0], F.col("tokens")[1]
-    beside = lambda same, other: F.transform(_near(other), lambda x: F.concat(same, F.lit("\t"), x))
+    beside = lambda same, other: F.transform(F.array_union(_near(other), F.array(F.concat(F.lit("<"), F.left(other, F.lit(3))), F.concat(F.lit(">"), F.right(other, F.lit(3))))), lambda x: F.concat(same, F.lit("\t"), x))
+    ends = lambda t: F.array(F.concat(F.lit("<"), F.left(t, F.lit(3))), F.concat(F.lit(">"), F.right(t, F.lit(3))))
+    both = F.flatten(F.transform(ends(first), lambda x: F.transform(ends(last), lambda y: F.array_join(F.array_sort(F.array(x, y)), "\t"))))
     keys = F.when(F.col("sort").isin("pc", "oc"), F.array(F.concat(first, F.lit("\t"), last))).when(F.col("sort") == "ol", beside(last, first))
-    return F.array_distinct(keys.otherwise(F.concat(beside(first, last), beside(last, first))))
+    return F.array_distinct(keys.otherwise(F.concat(beside(first, last), beside(last, first), both)))
 
 
 def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -222,10 +212,12 @@ def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def link_names(roster: DataFrame, episodes: DataFrame, common: int = 200) -> DataFrame:
     """``podcast_name, name, entity, level``: each different spelling of a podcast with the entity that it means.
 
-    Full forms are compared within blocks of a common token suffix (3 letters or 1 character at least) or token. The
-    names of a block with more than ``common`` names of a podcast are compared within blocks of a token and the
-    deletion neighbourhood of the other instead, which hold every pair that ``same_full`` accepts. Rows without
-    episode, name or podcast mean nobody; repeated rows change nothing.
+    Full forms are compared within blocks of a common token suffix (3 letters or 1 character at least) or token. A
+    suffix with more than ``common`` names of a podcast is discarded after it has been refined with the rest of the
+    name: its names meet in blocks of one token and the deletion neighbourhood of the other, and of the first or last
+    three letters of both. These hold every accepted pair with one edit in one token, and every pair with typos in both
+    that leave either end of each as it is. Rows without episode, name or podcast mean nobody; repeated rows change
+    nothing.
     """
     where = episodes.select("episode_id", "podcast_name").where("episode_id is not null and podcast_name is not null").distinct()
     typed = roster.where("typed_name is not null and episode_id is not null").select("episode_id", F.coalesce("origin", F.lit("")).alias("origin"), F.coalesce(F.col("cast_role") == "机构", F.lit(False)).alias("org"), F.col("typed_name").alias("name"))
@@ -237,7 +229,7 @@ def link_names(roster: DataFrame, episodes: DataFrame, common: int = 200) -> Dat
     keyed = full.select("podcast_name", "name", "sort", "tokens", F.explode(F.array_union("keys", "tokens")).alias("key")).where("key <> ''")
     sized = keyed.join(keyed.groupBy("podcast_name", "sort", "key").agg(F.count(F.lit(1)).alias("n")), ["podcast_name", "sort", "key"])
     plain = sized.where(F.col("n") <= common).select("podcast_name", "sort", "key", F.lit("").alias("by"), "name", "tokens")
-    refined = sized.where(F.col("n") > common).dropDuplicates(["podcast_name", "name"]).select("podcast_name", "sort", F.lit("").alias("key"), F.explode(_exact_keys()).alias("by"), "name", "tokens")
+    refined = sized.where(F.col("n") > common).dropDuplicates(["podcast_name", "name"]).select("podcast_name", "sort", F.lit("").alias("key"), F.explode(_finer_keys()).alias("by"), "name", "tokens")
     blocks = plain.unionByName(refined)
     other = blocks.select("podcast_name", "sort", "key", "by", F.col("name").alias("name_b"), F.col("tokens").alias("tokens_b"))
     pairs = blocks.join(other, ["podcast_name", "sort", "key", "by"]).where("name < name_b").select("podcast_name", "sort", F.col("name").alias("name_a"), "tokens", "name_b", "tokens_b").dropDuplicates(["podcast_name", "name_a", "name_b"])

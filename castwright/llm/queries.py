@@ -81,6 +81,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return name_pairs(link_names(table(spark, d, "roster"), table(spark, d, "episodes")))
 
 
+@query("p1_entities")
+def p1_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Membership: one row for each spelling, with the entity that it means."""
+    return link_names(table(spark, d, "roster"), table(spark, d, "episodes"))
+
+
 @query("p7_packed")
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(table(spark, d, "documents"))

@@ -38,16 +38,17 @@ def test_short_names(short, long, org, want):
     assert not want or set(x[3]) & set(y[3])
 
 
-def test_one_edit_by_brute_force():
-    words = ["".join(w) for n in range(5) for w in itertools.product("ab", repeat=n)] + ["abca", "acba", "bca", "cab"]
+def test_ratio_by_brute_force():
+    def lcs(a, b):
+        return max((1 + lcs(a[1:], b[1:]) if a[:1] == b[:1] else max(lcs(a[1:], b), lcs(a, b[1:])) if a and b else 0,)) if a and b else 0
 
-    def near(a, b):
-        out = {a} | {a[:i] + a[i + 1 :] for i in range(len(a))} | {a[:i] + c + a[i + k :] for i in range(len(a) + 1) for c in "abc" for k in (0, 1)} | {a[:i] + a[i + 1] + a[i] + a[i + 2 :] for i in range(len(a) - 1)}
-        return b in out
+    for a, b in itertools.product(["", "a", "abc", "abab", "bacab", "ccba"], repeat=2):
+        assert names.lcs_ratio(a, b) == (2 * lcs(a, b) / (len(a) + len(b)) if a and b else 0.0)
 
-    for a in words:
-        for b in words:
-            assert names.one_edit(a, b) == near(a, b), (a, b)
+
+@pytest.mark.parametrize("a,b,same", [("Katherine Kesstolles", "Kathrine Kesstoles", True), ("Katherine Kesstolles", "Kathrina Kessdelles", False), ("Amadeus Halresk", "Halrsk Amadeu", True)])
+def test_typos_in_both_tokens(a, b, same):
+    assert full(a, b) == same
 
 
 ROSTER = "episode_id string, origin string, ord int, cast_role string, typed_name string, key string"
