@@ -121,8 +121,11 @@ def lcs_ratio(a: str, b: str) -> float:
 
 
 def like(a: str, b: str) -> bool:
-    """Whether two tokens are spellings of one: the ratio decides; a short token, where one letter is much, must be equal."""
-    return a == b or min(len(a), len(b)) > 3 and lcs_ratio(a, b) >= RATIO
+    """Whether two tokens are spellings of one: the ratio decides; a short token, where one letter is much, must be equal.
+
+    Lengths differ by one at most, since whole syllables tell family names apart (Casren, Casrenen).
+    """
+    return a == b or min(len(a), len(b)) > 3 and abs(len(a) - len(b)) < 2 and lcs_ratio(a, b) >= RATIO
 
 
 def same_full(sort: str, a: list[str], b: list[str]) -> bool:
