@@ -1,11 +1,12 @@
 """Sentence boundaries across languages and scripts.
 
-Characters are tagged as boundary or inside by a linear-chain model with Viterbi decoding. Only a character that
-closes a sentence mark, or stands before white space, can be a boundary; between these candidates every character is
-inside, so the chain is decoded over the candidates. The emission weights are fitted by logistic regression and the
-transitions counted on texts made of whole known sentences; for scripts without periods (Thai), and for Chinese and
-Japanese with missing periods, copies without punctuation are added. Quotations, titles and brackets are kept whole,
-a blank line always ends a sentence.
+Every character is tagged as boundary or inside by a linear-chain model with Viterbi decoding. Behind a sentence mark
+and before white space the emission is a weighted sum of features; between two characters of a script without spaces
+it is the log-odds of what stands before and behind, learned on text without punctuation. A place whose emission can't
+win is inside, so that the chain is decoded over the others. Emissions and transitions are fitted together (averaged
+perceptron on whole sequences, started from a logistic regression) on texts made of whole known sentences; copies
+without punctuation are added for Thai, Chinese and Japanese. Quotations, titles and brackets are kept whole, a blank
+line always ends a sentence.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,10 +25,10 @@ _WIDE = {c: c - 0xFEE0 for c in range(0xFF10, 0xFF1A)} | {c: c - 0xFEE0 for c in
 MARKS = ".!?。！？｡．…।॥؟~～"
 CLOSERS = "\"”’」』）)\\]】»›“‘'《》〉"
 _CANDIDATE = re.compile(rf"(?P<mark>[{MARKS}]+)(?P<close>[\"”’」』）)\]»›“]*)(?P<gap>\s*)|(?P<close2>(?<=\S)[\"”」』»])(?P<gap2>\s*)|(?P<gap3>(?<=\S)\s+(?![a-z0-9\s]))")
-# Spans that no boundary may cut.
+# Spans that no boundary may cut, of any length within a paragraph.
 _WHOLE = re.compile(
-    r"「[^「」\n]{0,400}」|『[^『』\n]{0,400}』|《[^《》\n]{0,200}》|“[^“”„]{0,400}”|„[^„“”]{0,400}[“”]|«[^«»]{0,400}»|（[^（）\n]{0,300}）|\([^()\n]{0,300}\)"
-    r"|\[[^\[\]\n]{0,200}\]|【[^【】\n]{0,100}】|(?<![\w\"])\"(?=[^\s\"])[^\"\n]{1,400}(?:\n[^\"\n]{1,300})?\"(?!\w)"
+    r"「[^「」]*」|『[^『』]*』|《[^《》]*》|“[^“”„]*”|„[^„“”]*[“”]|«[^«»]*»|（[^（）]*）|\([^()]*\)"
+    r"|\[[^\[\]]*\]|【[^【】]*】|(?<![\w\"])\"(?=[^\s\"])[^\"\n]+(?:\n[^\"\n]+)?\"(?!\w)"
 )
 _JOINED = re.compile("[。！？，、：；「」『』“”…《》（）～]")
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
@@ -124,10 +126,10 @@ def features(text: str, cand: tuple[int, int, str, str, str]) -> list[str]:
 
 
 class Chain:
-    """Weights of the boundary tag by feature, and log ratios of tag after tag."""
+    """Weights of the boundary tag by feature, weights of tag after tag, and what unmarked ends look like."""
 
-    def __init__(self, weights: dict[str, float], bias: float, step: dict[tuple[bool, bool], float]) -> None:
-        self.weights, self.bias, self.step = weights, bias, step
+    def __init__(self, weights: dict[str, float], bias: float, step: dict[tuple[bool, bool], float], bare: "Bare | None" = None) -> None:
+        self.weights, self.bias, self.step, self.bare = weights, bias, step, bare
         self.sums: list[dict[tuple, float]] = [{}, {}, {}, {}]
 
     def emission(self, text: str, cand: tuple[int, int, str, str, str]) -> float:
@@ -145,17 +147,20 @@ class Chain:
 
     def cut(self, text: str) -> list[tuple[int, int]]:
         """(end, next start) of the sentences of one paragraph, by Viterbi decoding."""
-        cands = candidates(text)
+        cands = [(cand, self.emission(text, cand)) for cand in candidates(text)]
+        if self.bare is not None and (more := self.bare.places(text)):
+            whole = [m.span() for m in _WHOLE.finditer(text)]
+            free = [(at, e) for at, e in more if not any(a < at < b for a, b in whole)]
+            cands = sorted([*cands, *(((at, at, "", "", ""), e) for at, e in free)], key=lambda c: c[0][0])
         step = self.step
         inside, bound, back = 0.0, -1e9, []
-        for cand in cands:
-            e = self.emission(text, cand)
+        for cand, e in cands:
             a, b = inside + step[False, False], bound + step[True, False]
             c, d = inside + step[False, True] + e, bound + step[True, True] + e
             back.append((b > a, d > c))
             inside, bound = max(a, b), max(c, d)
         tag, out = bound > inside, []
-        for cand, (from_bound_i, from_bound_b) in zip(reversed(cands), reversed(back)):
+        for (cand, _), (from_bound_i, from_bound_b) in zip(reversed(cands), reversed(back)):
             if tag:
                 out.append((cand[0], cand[1]))
             tag = from_bound_b if tag else from_bound_i
@@ -166,11 +171,61 @@ class Chain:
         return out
 
 
+class Bare:
+    """Ends without mark or white space, in scripts without spaces: log-odds of the characters before and behind a place."""
+
+    def __init__(self, before: dict[str, float], behind: dict[str, float], least: float) -> None:
+        self.before, self.behind, self.least = before, behind, least
+        self.any = re.compile(f"[{_UNSPACED}]{{4}}")
+
+    @staticmethod
+    def width(c: str) -> int:
+        """Characters that are looked at: a Thai word has more of them."""
+        return 6 if "\u0e00" <= c <= "\u0e7f" else 2
+
+    def places(self, text: str) -> list[tuple[int, float]]:
+        """(place, emission) of each character that may end a sentence so."""
+        if not self.before or not self.any.search(text):
+            return []
+        out = []
+        for m in re.finditer(f"[{_UNSPACED}]+", text):
+            n = self.width(m[0][0])
+            for at in range(m.start() + n, m.end() - n + 1):
+                if (e := self.behind.get(text[at : at + n])) is not None and (f := self.before.get(text[at - n : at])) is not None and e + f > self.least:
+                    out.append((at, e + f - self.least))
+        return out
+
+
+_UNSPACED = "\u0e01-\u0e4e\u3041-\u30fc\u4e00-\u9fff"
+
+
+def fit_bare(sentences: list[str], least: float = 8.0) -> Bare:
+    """Log-odds of the last and the first characters of sentences against the same characters inside; ``least`` is the prior odds of an unmarked end.
+
+    Only what ends or begins several different sentences tells; a character pair that stands inside often has low odds.
+    """
+    bare = [p for s in sentences if (p := s.strip().rstrip(MARKS + CLOSERS).lstrip("-·• "))]
+    ends, starts, inside = Counter(), Counter(), Counter()
+    for s in bare:
+        for m in re.finditer(f"[{_UNSPACED}]+", s):
+            n, run = Bare.width(m[0][0]), m[0]
+            if len(run) >= n:
+                if m.end() == len(s):
+                    ends[run[-n:]] += 1
+                if m.start() == 0:
+                    starts[run[:n]] += 1
+                inside.update(run[i : i + n] for i in range(1, len(run) - n))
+    n_in, n_end = max(1, sum(inside.values())), max(1, sum(ends.values()))
+    n_start = max(1, sum(starts.values()))
+    odds = lambda some, total: {k: math.log((c / total) / ((inside[k] + 0.3) / n_in)) for k, c in some.items() if c >= 3}
+    return Bare(odds(ends, n_end), odds(starts, n_start), least)
+
+
 def fit(sentences: list[str], seed: int = 7, epochs: int = 6) -> Chain:
     """Fit the model on whole sentences, put together to paragraphs in several ways."""
     rnd = random.Random(seed)
     known = sorted({s.strip() for s in sentences if 2 < len(s.strip()) < 300})
-    rows: list[tuple[list[str], bool]] = []
+    sequences: list[list[tuple[list[str], bool]]] = []
     steps = {(a, b): 1.0 for a in (False, True) for b in (False, True)}
 
     def learn(group: list[str], bare: bool) -> None:
@@ -184,14 +239,15 @@ def fit(sentences: list[str], seed: int = 7, epochs: int = 6) -> Chain:
             wide = kind(s[-1:]) in ("han", "kana") or s[-1:] in "。！？」』”～…"
             marked = s[-1:] in MARKS + CLOSERS
             text += "" if wide and marked and rnd.random() < 0.85 else "\n" if rnd.random() < 0.06 else "" if marked and rnd.random() < 0.03 else " "
-        before = False
+        before, own = False, []
         for cand in candidates(text):
             if cand[0] >= len(text.rstrip()):
                 continue
             tag = cand[0] in ends
-            rows.append((features(text, cand), tag))
+            own.append((features(text, cand), tag))
             steps[before, tag] += 1
             before = tag
+        sequences.append(own)
 
     for _ in range(2):
         rnd.shuffle(known)
@@ -206,6 +262,7 @@ def fit(sentences: list[str], seed: int = 7, epochs: int = 6) -> Chain:
     for i in range(0, len(spaced) // 4, 10):
         learn(spaced[i : i + 10], True)
 
+    rows = [row for own in sequences for row in own]
     weights: dict[str, float] = {}
     bias, squares = 0.0, {}
     order = list(range(len(rows)))
@@ -222,11 +279,42 @@ def fit(sentences: list[str], seed: int = 7, epochs: int = 6) -> Chain:
                 d = g + 1e-4 * weights.get(f, 0.0)
                 squares[f] = squares.get(f, 0.0) + d * d
                 weights[f] = weights.get(f, 0.0) - 0.3 * d / (1e-3 + math.sqrt(squares[f]))
-    n = sum(steps.values())
-    p_bound = (steps[True, True] + steps[False, True]) / n
-    # Half the log ratio: the emission already holds the base rate.
-    step = {(a, b): 0.5 * math.log(steps[a, b] / (steps[a, True] + steps[a, False]) / (p_bound if b else 1 - p_bound)) for a, b in steps}
-    return Chain({f: w for f, w in weights.items() if abs(w) > 1e-3}, bias, step)
+    weights, step = fit_sequences(sequences, weights, bias, rnd)
+    return Chain({f: w for f, w in weights.items() if abs(w) > 1e-3}, bias, step, fit_bare(known))
+
+
+def fit_sequences(sequences: list[list[tuple[list[str], bool]]], weights: dict[str, float], bias: float, rnd: random.Random, epochs: int = 2, rate: float = 0.2) -> tuple[dict[str, float], dict[tuple[bool, bool], float]]:
+    """Weights of features and of tag after tag, fitted together: each sequence is decoded, and what differs from the truth is moved; averaged over all steps."""
+    step = {(a, b): 0.0 for a in (False, True) for b in (False, True)}
+    moved, moved_step, n = {}, dict.fromkeys(step, 0.0), 1
+    for _ in range(epochs):
+        rnd.shuffle(sequences)
+        for own in sequences:
+            inside, bound, back = 0.0, -1e9, []
+            for fs, _ in own:
+                e = bias + sum(weights.get(f, 0.0) for f in fs)
+                a, b = inside + step[False, False], bound + step[True, False]
+                c, d = inside + step[False, True] + e, bound + step[True, True] + e
+                back.append((b > a, d > c))
+                inside, bound = max(a, b), max(c, d)
+            tags, tag = [], bound > inside
+            for from_i, from_b in reversed(back):
+                tags.append(tag)
+                tag = from_b if tag else from_i
+            before, guessed = False, False
+            for (fs, want), got in zip(own, reversed(tags)):
+                if (before, want) != (guessed, got):
+                    for key, sign in (((before, want), rate), ((guessed, got), -rate)):
+                        step[key] += sign / 4
+                        moved_step[key] += n * sign / 4
+                if want != got:
+                    sign = rate if want else -rate
+                    for f in fs:
+                        weights[f] = weights.get(f, 0.0) + sign / len(fs)
+                        moved[f] = moved.get(f, 0.0) + n * sign / len(fs)
+                before, guessed = want, got
+            n += 1
+    return {f: w - moved.get(f, 0.0) / n for f, w in weights.items()}, {k: w - moved_step[k] / n for k, w in step.items()}
 
 
 def sentence_ends(text: str | None, chain: Chain) -> list[tuple[int, int]]:
@@ -249,9 +337,16 @@ def sentence_ends(text: str | None, chain: Chain) -> list[tuple[int, int]]:
 
 
 def known_sentences(documents: DataFrame, bound: int) -> list[str]:
-    """At most ``bound`` lines of listener comments, which hold one sentence each; those with the least hash."""
-    lines = documents.where("doc_kind = 'comments' and text is not null and n_chars < 4000").select(F.explode(F.split("text", "\n")).alias("s")).where("length(s) between 3 and 300").distinct()
-    return [r["s"] for r in lines.orderBy(F.xxhash64("s"), "s").limit(bound).collect()]
+    """At most ``bound`` lines of listener comments, which hold one sentence each; those with the least hash.
+
+    The lines are counted first, and only those below a threshold of the hash that leaves about twice the bound are
+    made distinct, so that what is sent doesn't grow with the corpus.
+    """
+    lines = documents.where("doc_kind = 'comments' and text is not null").select(F.explode(F.split("text", "\n")).alias("s")).where("length(s) between 3 and 300")
+    n = lines.agg(F.approx_count_distinct("s")).first()[0]
+    share = min(1.0, 2 * bound / max(1, n))
+    some = lines.where(F.pmod(F.xxhash64("s", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).distinct()
+    return [r["s"] for r in some.orderBy(F.xxhash64("s"), "s").limit(bound).collect()]
 
 
 def split_sentences(df: DataFrame, key: list[str], text: str | Column, chain: Chain) -> DataFrame:

@@ -343,3 +343,28 @@ def test_harmless_use_of_a_word():
     y1, y0 = np.array([20.0, 20.0]), np.array([0.0, 60.0])
     score = abuse.log_odds(y1, y0, np.array([400.0, 400.0]), np.array([2.0, 2.0]), 5000, 15000, 0.3, 1.9, -0.6)
     assert score[0] > 1 and score[1] < 0
+
+
+def test_unmarked_ends():
+    """Chinese and Thai sentences put together without marks or blanks, by a model that knows half of the lines."""
+    import duckdb
+
+    rows = duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet' where doc_kind = 'comments' and text is not null").fetchall()
+    lines = sorted({s for (t,) in rows for s in t.split("\n") if 3 <= len(s) <= 300})
+    random.Random(3).shuffle(lines)
+    half = len(lines) // 2
+    chain = sentences.fit(lines[:half])
+    bare = [s.strip().rstrip(sentences.MARKS + sentences.CLOSERS) for s in lines[half:]]
+    bare = [s for s in bare if s and all("一" <= c <= "鿿" for c in (s[0], s[-1])) and not any("ぁ" <= c <= "ー" for c in s)]
+    both = found = true = 0
+    for i in range(0, len(bare) - 6, 6):
+        ends = set(np.cumsum([len(s) for s in bare[i : i + 6]]).tolist())
+        got = {e for _, e in sentences.sentence_ends("".join(bare[i : i + 6]), chain)}
+        both, found, true = both + len(ends & got), found + len(got), true + len(ends)
+    assert both / found > 0.9 and both / true > 0.5
+
+
+def test_long_quotation_stays_whole():
+    chain = sentences.Chain({}, 1.0, {(a, b): 0.0 for a in (False, True) for b in (False, True)})
+    text = "他说「" + "好的。" * 300 + "」然后走了。再见。"
+    assert [e for _, e in sentences.sentence_ends(text, chain)] == [904, 909, 912]
