@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from castwright.operators.ordered import PART, carried_scan, range_sorted
@@ -145,15 +145,21 @@ class Tagger:
         return max((score + self.step[tag, "$"], path) for tag, (score, path) in best.items())[1]
 
 
-def train(units: list[str], alpha: float = 0.1) -> Tagger:
-    """Estimate the model on weakly labelled units.
+#: What a form that a tag doesn't admit may still count for it, so that the chain can overrule the form.
+FAINT = 1e-4
 
-    A form that admits one tag has that tag; a lone number is a line number (time), a number among words speech; other
-    forms count by halves for each tag that they admit.
+
+def train(units: list[str], alpha: float = 0.1, rounds: int = 3) -> Tagger:
+    """Estimate the model on units without tags.
+
+    It starts from weak labels: a form that admits one tag has that tag; a lone number is a line number (time), a
+    number among words speech; other forms count by halves for each tag that they admit. Then the units are decoded and
+    the model is estimated again from their tags (and the weak ones, with little weight), ``rounds`` times, so that the
+    tags of ambiguous forms follow from what stands around them in these texts.
     """
+    known = [forms for text in [*units, "1", "[00:01] SPEAKER_00: (laughs) um, yes", "<|en|>um", "【甲】好的 3 个（笑）"] if (forms := tuple(f for f, _, _ in tokens(narrow(text))))]
     step, emit = {}, {}
-    for text in [*units, "1", "[00:01] SPEAKER_00: (laughs) um, yes", "<|en|>um", "【甲】好的 3 个（笑）"]:
-        forms = [f for f, _, _ in tokens(narrow(text))]
+    for forms in known:
         before = "^"
         for form in forms:
             admits = ADMITS[form]
@@ -168,16 +174,28 @@ def train(units: list[str], alpha: float = 0.1) -> Tagger:
             step[before, admits[0]] = step.get((before, admits[0]), 0) + 1
             before = admits[0]
         step[before, "$"] = step.get((before, "$"), 0) + 1
-    log_step = {}
+    tagger = _estimate(step, emit, alpha)
+    for _ in range(rounds):
+        more_step, more_emit = {k: 0.3 * n for k, n in step.items()}, {k: 0.3 * n for k, n in emit.items()}
+        for forms in known:
+            before = "^"
+            for form, tag in zip(forms, tagger.decode(forms)):
+                more_emit[tag, form] = more_emit.get((tag, form), 0) + 1
+                more_step[before, tag] = more_step.get((before, tag), 0) + 1
+                before = tag
+            more_step[before, "$"] = more_step.get((before, "$"), 0) + 1
+        tagger = _estimate(more_step, more_emit, alpha)
+    return tagger
+
+
+def _estimate(step: dict, emit: dict, alpha: float) -> Tagger:
+    log_step, log_emit = {}, {}
     for a in ("^", *TAGS):
         total = sum(step.get((a, b), 0) + alpha for b in (*TAGS, "$"))
         log_step |= {(a, b): math.log((step.get((a, b), 0) + alpha) / total) for b in (*TAGS, "$")}
-    log_emit = {}
     for tag in TAGS:
         total = sum(emit.get((tag, f), 0) + alpha for f in ADMITS)
-        for f, admits in ADMITS.items():
-            count = emit.get((tag, f), 0) + alpha if tag in admits else 1e-9
-            log_emit[tag, f] = math.log(count / total)
+        log_emit |= {(tag, f): math.log((emit.get((tag, f), 0) + (alpha if tag in admits else FAINT)) / total) for f, admits in ADMITS.items()}
     return Tagger(log_step, log_emit)
 
 
@@ -211,53 +229,81 @@ def read_unit(text: str | None, tagger: Tagger, with_text: bool) -> tuple[str |
     return label, bare, says, says or bare, clean
 
 
-_UNITS = "episode_id string, unit int, own string, name string, bare boolean, says boolean, says_bare boolean, text string"
+_UNITS = "episode_id string, unit int, own string, name string, bare boolean, says boolean, says_bare boolean, lines boolean, text string"
+
 
+def tag_units(df: DataFrame, tagger: Tagger, with_text: bool) -> DataFrame:
+    """One row for each unit (``episode_id, unit, text, speaker, lines``): its label as it stands, and whether it says anything.
 
-def tag_segments(df: DataFrame, tagger: Tagger, with_text: bool) -> DataFrame:
-    """One row for each segment; the label stands in the column, or else at the start of the text."""
+    The label stands in the column, or else at the start of the text. ``own`` is the speaker, ``name`` a name that the
+    mapping must know; both are null for a line without label. Units that neither say anything nor hold a label are
+    left out.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str | None, tuple[str, bool]] = {}
         for batch in batches:
             rows = []
-            for episode, unit, text, speaker in zip(batch["episode_id"], batch["unit"], batch["text"], batch["speaker"]):
+            for episode, unit, text, speaker, lines in zip(batch["episode_id"], batch["unit"], batch["text"], batch["speaker"], batch["lines"]):
                 label, bare, says, says_bare, clean = read_unit(text, tagger, with_text)
                 value, is_name = known.get(speaker) or known.setdefault(speaker, read_label(speaker))
                 column = value != UNKNOWN or is_name
                 if not column and label is not None:
                     value, is_name = (clean_name(label), True) if bare else read_label(label)
-                rows.append((episode, unit, None if is_name else value, value if is_name else None, bare and not column, says, says_bare and not column or says, clean))
-            yield pd.DataFrame(rows, columns=["episode_id", "unit", "own", "name", "bare", "says", "says_bare", "text"])
+                nothing = lines and not column and label is None
+                bare = bare and not column
+                if says or bare and says_bare or lines and not nothing:
+                    rows.append((episode, unit, None if is_name or nothing else value, value if is_name else None, bare, says, says_bare and bare or says, lines, clean))
+            yield pd.DataFrame(rows, columns=["episode_id", "unit", "own", "name", "bare", "says", "says_bare", "lines", "text"])
 
-    return df.mapInPandas(run, _UNITS)
+    return df.select("episode_id", "unit", "text", "speaker", "lines").mapInPandas(run, _UNITS)
 
 
-def tag_lines(df: DataFrame, tagger: Tagger, with_text: bool) -> DataFrame:
-    """One row for each line of a text; a line without label continues the last label. ``names``: the episode's mapping."""
+def clean_names(name: Column) -> Column:
+    """``clean_name`` as an expression."""
+    name = F.trim(F.regexp_replace(F.trim(name), r"^[【】\[\]]+|[【】\[\]]+$", ""))
+    name = F.regexp_replace(name, rf"(?i)\s*[（(](?:{ROLES})[)）]\s*$", "")
+    return F.trim(F.regexp_replace(name, rf"^(?:(?:{ROLES})[:：]\s*|(?:主播|嘉宾|主持人|主持|主理人|客座)\s*)", ""))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for episode, text, names in zip(batch["episode_id"], batch["text"], batch["names"]):
-                names = dict(names) if names is not None else {}
-                rows, last = [], UNKNOWN
-                for unit, line in enumerate((text or "").split("\n")):
-                    label, bare, says, says_bare, clean = read_unit(line, tagger, with_text)
-                    if label is not None:
-                        value, is_name = (clean_name(label), True) if bare else read_label(label)
-                        if not is_name:
-                            last = value
-                        elif value in names:
-                            last = names[value]
-                        elif bare:
-                            says = says_bare
-                        else:
-                            last = UNKNOWN
-                    if says:
-                        rows.append((episode, unit, last, None, False, True, True, clean))
-                yield pd.DataFrame(rows, columns=["episode_id", "unit", "own", "name", "bare", "says", "says_bare", "text"])
-
-    return df.mapInPandas(run, _UNITS)
+
+# --- The label of the last labelled line, carried over the global order -----------------------------------------
+
+
+def _last_labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    part, first, episode, last = None, None, None, None
+    for batch in batches:
+        if not len(batch):
+            continue
+        if part is None:
+            part, first = int(batch[PART].iloc[0]), batch["episode_id"].iloc[0]
+        end = batch["episode_id"].iloc[-1]
+        given = batch.loc[(batch["episode_id"] == end) & batch["speaker"].notna(), "speaker"]
+        last = given.iloc[-1] if len(given) else last if end == episode else None
+        episode = end
+    if part is not None:
+        yield pd.DataFrame({PART: [part], "first": [first], "episode": [episode], "last": [last]})
+
+
+def _carry(state: tuple, row: dict) -> tuple:
+    episode, last = state
+    goes_on = row["last"] is None and row["first"] == row["episode"] == episode
+    return row["episode"], last if goes_on else row["last"]
+
+
+def _fill(batches: Iterator[pd.DataFrame], state: tuple) -> Iterator[pd.DataFrame]:
+    episode, last = state
+    for batch in batches:
+        at, given = np.arange(len(batch)), batch["speaker"].notna().to_numpy()
+        new = np.append([batch["episode_id"].iloc[0] != episode], (batch["episode_id"].to_numpy()[1:] != batch["episode_id"].to_numpy()[:-1]))
+        source = np.maximum.accumulate(np.where(given | new, at, -1))  # the last label, or the start of the episode
+        labels = batch["speaker"].to_numpy(dtype=object)
+        filled = np.where(source < 0, last, labels[np.maximum(source, 0)])
+        speaker = pd.Series(filled, dtype=object)
+        speaker = speaker.where(speaker.notna(), UNKNOWN)
+        says = batch["says"].to_numpy(dtype=bool)
+        out = batch[[PART, "episode_id", "unit", "text"]].assign(speaker=speaker.to_numpy())
+        yield out[says][[PART, "episode_id", "unit", "speaker", "text"]]
+        episode, last = batch["episode_id"].iloc[-1], speaker.iloc[-1]
 
 
 def _key(batch: pd.DataFrame) -> np.ndarray:
@@ -296,6 +342,13 @@ def _scan(batches: Iterator[pd.DataFrame], state: tuple) -> Iterator[pd.DataFram
         last, tail = key[-1], int(first[-1])
 
 
+def _sample(texts: DataFrame, bound: int) -> list[str]:
+    """About ``bound`` texts (all if there are no more), those below a threshold of the hash; they are counted first."""
+    n = texts.where("text is not null").count()
+    some = texts.where("text is not null").where(F.pmod(F.xxhash64("text", F.lit(2)), F.lit(1_000_000)) < int(min(1.0, 2 * bound / max(1, n)) * 1_000_000) + 1)
+    return [r["text"] for r in some.orderBy(F.xxhash64("text"), "text").limit(bound).collect()]
+
+
 def speaker_turns(segments: DataFrame, transcripts: DataFrame, struct_out: DataFrame, with_text: bool = True, train_units: int = 4000) -> DataFrame:
     """Turns: ``episode_id, first_unit, last_unit, speaker, n_units, text``.
 
@@ -304,46 +357,47 @@ def speaker_turns(segments: DataFrame, transcripts: DataFrame, struct_out: DataF
     say nothing; rows without episode_id or seg_no have no place in the order and are left out. A null or blank label
     is no label. A name that the mapping of its episode lacks gives UNKNOWN. Empty tables give no rows; other columns
     are not read. ``with_text=False`` leaves the text null.
+
+    Segments and lines are units of one table; a text of any length spreads over many tasks, and the label of its last
+    labelled line comes by a carried scan.
     """
     seg = (
         segments.where("episode_id is not null and seg_no is not null")
         .groupBy("episode_id", F.col("seg_no").cast("int").alias("unit"))
         .agg(F.min(F.struct("text", "speaker")).alias("x"))
-        .select("episode_id", "unit", "x.text", "x.speaker")
+        .select("episode_id", "unit", "x.text", "x.speaker", F.lit(False).alias("lines"))
     )
-    # A text is one row and thus bounded; the whole of it is read in one go.
-    texts = transcripts.where("layout = 'lines' and episode_id is not null").groupBy("episode_id").agg(F.min("raw_text").alias("text"))
-    sample = segments.select("text").where("text is not null").orderBy(F.xxhash64("text"), "text").limit(train_units // 2).collect()
-    lined = transcripts.where("layout = 'lines'").select(F.explode(F.split("raw_text", "\n")).alias("text")).orderBy(F.xxhash64("text"), "text").limit(train_units // 2).collect()
-    tagger = train([r["text"] for r in sample + lined])
+    own = transcripts.where("layout = 'lines' and episode_id is not null").groupBy("episode_id").agg(F.min("raw_text").alias("raw_text"))
+    line = own.select("episode_id", F.posexplode(F.split("raw_text", "\n")).alias("unit", "text")).select("episode_id", "unit", "text", F.lit(None).cast("string").alias("speaker"), F.lit(True).alias("lines"))
+    tagger = train(_sample(segments.select("text"), train_units // 2) + _sample(transcripts.where("layout = 'lines'").select(F.explode(F.split("raw_text", "\n")).alias("text")), train_units // 2))
 
-    clean = F.udf(clean_name, "string")
     names = (
         struct_out.where("episode_id is not null and speaker_mapping is not null")
         .select("episode_id", F.explode("speaker_mapping").alias("label", "typed"))
         .where("typed is not null")
         .distinct()
-        .select("episode_id", clean("typed").alias("name"), F.regexp_extract("label", r"(\d+)", 1).try_cast("int").alias("n"))
+        .select("episode_id", clean_names(F.col("typed")).alias("name"), F.regexp_extract("label", r"(\d+)", 1).try_cast("int").alias("n"))
         .where("n is not null and name != ''")
         .groupBy("episode_id", "name")
         .agg(F.format_string("SPEAKER_%02d", F.min("n")).alias("named"))
     )
-    by_episode = names.groupBy("episode_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "named"))).alias("names"))
-    lines = tag_lines(texts.join(by_episode, "episode_id", "left").select("episode_id", "text", "names"), tagger, with_text)
     # Written once: the two branches below and the sampling for the range sort would each tag every unit again.
-    tagged = cut(tag_segments(seg, tagger, with_text).unionByName(lines).where("says or says_bare"))
-    # The few units with a name are looked up apart, so that no null key meets in one task.
+    tagged = cut(tag_units(seg.unionByName(line.repartition("episode_id", "unit")), tagger, with_text))
+    # The few units with a name are looked up apart, so that no null key meets in one task. A bare name that isn't in
+    # the mapping is speech, and its line goes on with the last label.
+    stranger = F.col("named").isNull() & F.col("bare")
     called = tagged.where("name is not null").join(names, ["episode_id", "name"], "left").select(
-        "episode_id", "unit", F.coalesce("named", F.lit(UNKNOWN)).alias("speaker"), F.when(F.col("bare") & F.col("named").isNull(), F.col("says_bare")).otherwise(F.col("says")).alias("says"), "text"
+        "episode_id", "unit", F.when(~(stranger & F.col("lines")), F.coalesce("named", F.lit(UNKNOWN))).alias("speaker"), F.when(stranger, F.col("says_bare")).otherwise(F.col("says")).alias("says"), "text"
     )
-    units = (
-        tagged.where("name is null").select("episode_id", "unit", F.col("own").alias("speaker"), "says", "text")
-        .unionByName(called)
-        .where("says")
+    units = tagged.where("name is null").select("episode_id", "unit", F.col("own").alias("speaker"), "says", "text").unionByName(called)
+    filled = cut(
+        carried_scan(
+            range_sorted(units, ["episode_id", "unit"]), "first string, episode string, last string", _last_labels, _carry, (None, None),
+            f"{PART} int, episode_id string, unit int, speaker string, text string", _fill,
+        )
     )
-    ordered = range_sorted(units.select("episode_id", "unit", "speaker", "text"), ["episode_id", "unit"])
     pieces = carried_scan(
-        ordered, "last string, tail int, whole boolean", _summaries, _combine, (None, None),
+        filled, "last string, tail int, whole boolean", _summaries, _combine, (None, None),
         "episode_id string, speaker string, first_unit int, unit int, text string", _scan,
     )
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit", "text"))), lambda x: x["text"]), " ") if with_text else F.lit(None).cast("string")
