@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from castwright.session import cut
+
 # Letters of equal shape in Cyrillic, Greek and Armenian, and the Latin letters that they look like.
 SHAPES_FROM = "АВЕЅІЈКМНОРСТХҮԌԚԜаеіјорсухѕԁԛԝһҽ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνορυ" "ՕՏՍհոսցօ" "ıɑɡℓ"
 SHAPES_TO = "ABESIJKMHOPCTXYGQWaeijopcyxsdqwhe" "ABEZHIKMNOPTYXvopu" "OSUhnugo" "ıagl"
@@ -97,9 +99,23 @@ def unit_classes(texts: DataFrame, column: str) -> DataFrame:
     )
 
 
+@cache
+def _class(*kinds: str) -> str:
+    """A character class of all code points of these categories."""
+    out, start = [], None
+    for o in range(0x80, 0x110001):
+        if o < 0x110000 and unicodedata.category(chr(o)) in kinds:
+            start = o if start is None else start
+        elif start is not None:
+            out.append(f"\\U{start:08x}-\\U{o - 1:08x}")
+            start = None
+    return "".join(out)
+
+
+@cache
 def marked_unit() -> re.Pattern:
-    """Matches a character with combining marks, whatever invisible characters stand between, and lone marks (of the basic plane)."""
-    m, cf = ("".join(re.escape(chr(c)) for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) in k) for k in (("Mn", "Mc", "Me"), ("Cf",)))
+    """Matches a character with combining marks, whatever invisible characters stand between, and lone marks."""
+    m, cf = _class("Mn", "Mc", "Me"), _class("Cf")
     return re.compile(f"[^{m}{cf}](?:[{cf}]*[{m}])+|[{m}]+")
 
 
@@ -147,6 +163,20 @@ def canonical_column(df: DataFrame, column: str, classes: DataFrame, result: str
     return joined.withColumn(result, F.when(F.col(column) == "", F.lit("")).otherwise(F.col(result)))
 
 
+def _classes_of(docs: DataFrame) -> DataFrame:
+    """The classes of all full texts and quotes; written once, since they are read for each column."""
+    return cut(unit_classes(docs.select("full_text").unionByName(docs.select(F.explode("quotes").alias("full_text"))), "full_text"))
+
+
+def canonical_documents(output_docs: DataFrame) -> DataFrame:
+    """``episode_id, kp_no, text``: the canonical form of every full text (kp_no 0) and quote; null stays null, repeated rows are repeated."""
+    docs = output_docs.select("episode_id", "full_text", F.transform(F.coalesce("key_points", F.array()), lambda k: k["quote"]).alias("quotes"))
+    texts = docs.select("episode_id", F.lit(0).alias("kp_no"), F.col("full_text").alias("typed")).unionByName(
+        docs.select("episode_id", F.posexplode("quotes").alias("at", "typed")).select("episode_id", (F.col("at") + 1).alias("kp_no"), "typed")
+    )
+    return canonical_column(texts, "typed", _classes_of(docs), "text").select("episode_id", "kp_no", "text")
+
+
 def equal_looking_quotes(output_docs: DataFrame) -> DataFrame:
     """``episode_id, kp_no, quote, canonical_quote``: quotes that look like a passage of the full text but aren't contained in it.
 
@@ -155,7 +185,7 @@ def equal_looking_quotes(output_docs: DataFrame) -> DataFrame:
     docs = output_docs.where("full_text is not null and key_points is not null").select("episode_id", "full_text", F.transform("key_points", lambda k: k["quote"]).alias("quotes"))
     quoted = docs.select("episode_id", "full_text", F.posexplode("quotes").alias("at", "quote")).where("quote is not null and quote <> ''").where(~F.contains("full_text", "quote"))
     # Only texts with a quote that isn't found as it stands need the canonical form; the classes come from all texts.
-    classes = unit_classes(docs.select("full_text").unionByName(docs.select(F.explode("quotes").alias("full_text"))), "full_text")
+    classes = _classes_of(docs)
     doubtful = quoted.groupBy("episode_id", "full_text").agg(F.collect_set(F.struct("at", "quote")).alias("quotes"))
     whole = canonical_column(doubtful, "full_text", classes, "canonical_text").select("episode_id", "canonical_text", F.explode("quotes").alias("q")).select("episode_id", "canonical_text", "q.*")
     both = canonical_column(whole, "quote", classes, "canonical_quote")
