@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 
 from castwright import oracles
 from castwright.functions import anchors, numbers, text
-from castwright.functions.labels import NARROW, NUMBERED, WIDE
 from castwright.operators import aggregates, chunks, clusters, islands, joins, speakers
 from castwright.operators.intervals import merge_intervals
-from castwright.operators.runs import collapse_runs
 from castwright.plans import cache, documents
 from castwright.session import table
 from castwright.sources import pages
@@ -34,35 +32,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-# The speaker's key in SQL.
-_BARE = f"regexp_replace(lower(translate(coalesce(speaker, ''), '{WIDE.replace(chr(39), chr(39) * 2)}', '{NARROW.replace(chr(39), chr(39) * 2)}')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]', '', 'g')"
-_NUMBER = f"cast(regexp_extract({_BARE}, '{NUMBERED}', 1) as bigint)"
-SPEAKER_KEY_SQL = f"(case when regexp_matches({_BARE}, '{NUMBERED}') then 'SPEAKER_' || case when {_NUMBER} < 10 then '0' else '' end || cast({_NUMBER} as varchar) when {_BARE} in ('', 'unknown') then 'UNKNOWN' else {_BARE} end)"
-
-_RUNS_SQL = f"""
-with k as (select episode_id, cast(dseg_no as bigint) as dseg_no, start_ms, end_ms, {SPEAKER_KEY_SQL} as spk from diar_segments
-           where dseg_no is not null and start_ms is not null and end_ms is not null),
-o as (select * from (select *, row_number() over (partition by episode_id, dseg_no order by start_ms, end_ms, spk) as rn from k) where rn = 1),
-s as (select *, lag(spk) over w as before_spk, row_number() over w as pos from o window w as (partition by episode_id order by start_ms, end_ms, dseg_no)),
-t as (select *, sum(case when spk = before_spk then 0 else 1 end) over (partition by episode_id order by pos) as stretch from s),
-u as (select *, max(end_ms) over (partition by episode_id, stretch order by pos rows between unbounded preceding and 1 preceding) as high from t),
-v as (select *, sum(case when start_ms <= high + 200 then 0 else 1 end) over (partition by episode_id order by pos) as run from u),
-r as (select episode_id, run, arg_min(dseg_no, pos) as first_no, arg_max(dseg_no, pos) as last_no, count(*) as n_events, min(start_ms) as start_ms, max(end_ms) as end_ms, min(spk) as speaker
-      from v group by episode_id, run)
-"""
-
-
-@query("p3_found", _RUNS_SQL + "select episode_id, cast(first_no as int) as first_dseg_no, cast(last_no as int) as last_dseg_no from r where n_events >= 2")
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    runs = collapse_runs(table(spark, d, "diar_segments"))
-    return runs.where("n_events >= 2").select("episode_id", F.col("first_no").cast("int").alias("first_dseg_no"), F.col("last_no").cast("int").alias("last_dseg_no"))
-
-
-@query("p3_runs", _RUNS_SQL + "select episode_id, speaker, first_no, last_no, n_events, start_ms, end_ms, end_ms - start_ms as duration_ms from r")
-def p3_runs(spark: SparkSession, d: str) -> DataFrame:
-    return collapse_runs(table(spark, d, "diar_segments"))
-
-
 _PERIODS_SQL = """
 with s as (select episode_id, start_ms, end_ms from segments where start_ms is not null and end_ms is not null and end_ms > start_ms),
 m as (select *, max(end_ms) over (partition by episode_id order by start_ms, end_ms rows between unbounded preceding and 1 preceding) as high from s),

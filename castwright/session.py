@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A session for tests and the bench; a cluster brings its own."""
-    return (
+    """A session for tests and the bench, with a temporary folder for checkpoints; a cluster brings its own."""
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("castwright")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -19,6 +19,8 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, memory: str = "8
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    shared_dir(spark)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,20 +29,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints that every executor reaches.
+    """The folder for checkpoints that every executor reaches: what ``spark.checkpoint.dir`` names, or else what the context has.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one machine,
-    a temporary folder is made and set.
+    Where neither is set, a temporary folder is made if driver and executors are one process (tests); on a cluster
+    that is an error, since no executor would reach it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if named:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(named)
-        return named
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="castwright-"))
-    return context.getCheckpointDir()
+        if not named and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="castwright-"))
+    return named or context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
