@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        if not named and not context.master.startswith("local["):
+        if not named and context.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="castwright-"))
     return named or context.getCheckpointDir()
