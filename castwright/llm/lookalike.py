@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -67,12 +67,12 @@ def unit_classes(texts: DataFrame, column: str) -> DataFrame:
 
     def distinct_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[str] = set()
-        marked = marked_unit()
         for batch in batches:
             new: set[str] = set()
             for text in batch["text"]:
                 new.update(text)
-                new.update(marked.findall(text))
+                if not text.isascii() and (marked := marked_unit(text)):
+                    new.update(marked.findall(text))
             new = {u for u in new if len(u) > 1 or ord(u) > 127} - seen
             seen |= new
             if new:
@@ -99,24 +99,18 @@ def unit_classes(texts: DataFrame, column: str) -> DataFrame:
     )
 
 
-@cache
-def _class(*kinds: str) -> str:
-    """A character class of all code points of these categories."""
-    out, start = [], None
-    for o in range(0x80, 0x110001):
-        if o < 0x110000 and unicodedata.category(chr(o)) in kinds:
-            start = o if start is None else start
-        elif start is not None:
-            out.append(f"\\U{start:08x}-\\U{o - 1:08x}")
-            start = None
-    return "".join(out)
+@lru_cache(maxsize=4096)
+def _pattern(marks: str, hidden: str) -> re.Pattern:
+    m, cf = re.escape(marks), re.escape(hidden)
+    between = f"[{cf}]*" if cf else ""
+    return re.compile(f"[^{m}{cf}](?:{between}[{m}])+|[{m}]+")
 
 
-@cache
-def marked_unit() -> re.Pattern:
-    """Matches a character with combining marks, whatever invisible characters stand between, and lone marks."""
-    m, cf = _class("Mn", "Mc", "Me"), _class("Cf")
-    return re.compile(f"[^{m}{cf}](?:[{cf}]*[{m}])+|[{m}]+")
+def marked_unit(text: str) -> re.Pattern | None:
+    """Matches a character with combining marks, whatever invisible characters stand between, and lone marks, of all planes; null if the text has no mark."""
+    kinds = {c: unicodedata.category(c) for c in set(text) if ord(c) > 127}
+    marks = "".join(sorted(c for c, k in kinds.items() if k[0] == "M"))
+    return _pattern(marks, "".join(sorted(c for c, k in kinds.items() if k == "Cf"))) if marks else None
 
 
 class Replacer:
@@ -126,7 +120,6 @@ class Replacer:
         self.pairs = pairs
         self.single = {ord(u): c for u, c in pairs.items() if len(u) == 1}
         self.marked = {u: c for u, c in pairs.items() if len(u) > 1}
-        self.found = marked_unit() if self.marked else None
         self.any = re.compile("|".join(map(re.escape, sorted({u[-1] for u in self.marked})))) if self.marked else None
 
     def __reduce__(self):
@@ -135,8 +128,8 @@ class Replacer:
     def __call__(self, text: str | None) -> str | None:
         if text is None:
             return None
-        if self.found is not None and self.any.search(text):
-            text = self.found.sub(lambda m: self.marked.get(m[0], m[0]), text)
+        if self.any is not None and self.any.search(text) and (found := marked_unit(text)):
+            text = found.sub(lambda m: self.marked.get(m[0], m[0]), text)
         return text.translate(self.single)
 
 
