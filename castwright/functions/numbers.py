@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,33 +54,47 @@ def _keeps(run: str) -> bool:
     )
 
 
-def convert_numbers(text: str) -> str:
-    """Chinese quantities to digits; 万 and 亿 at the end stay as units; dates, rough numbers and words stay."""
+def number_changes(text: str) -> Iterator[tuple[int, int, str]]:
+    """(from, to, new) of each quantity that is written in digits; 万 and 亿 at the end stay as units; dates, rough numbers and words stay."""
+    for m in re.finditer("[零一二三四五六七八九十百千万亿两]+", text):
+        run, before, after = m[0], text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
+        if _keeps(run) or before and before in ABOUT or after and (after in "月日号年" or not "一" <= after <= "鿿"):
+            continue
+        unit = run[-1] if run[-1] in LARGE else ""
+        value = quantity(run[: len(run) - len(unit)])
+        if value is not None:
+            yield m.start(), m.end(), f"{value}{unit}"
+
+
+def date_changes(text: str) -> Iterator[tuple[int, int, str]]:
+    """(from, to, new) of each date or bare year that is written digit by digit; what is out of range stays."""
+    day = "[一二三四五六七八九十]{1,3}"
+    for m in re.finditer(f"([零一二三四五六七八九]{{4}})年(?:[，,]?\\s*({day})月[，,]?\\s*({day})日|(?![，,]?\\s*{day}月))", text):
+        y, *rest = (small_number(g) for g in m.groups() if g is not None)
+        if y is None or not 1000 <= y <= 2999:
+            continue
+        if not rest:
+            yield m.start(), m.end(), f"{y}年"
+        elif None not in rest and 1 <= rest[0] <= 12 and 1 <= rest[1] <= 31:
+            yield m.start(), m.end(), f"{y}年{rest[0]}月{rest[1]}日"
 
-    def convert(m: re.Match) -> str:
-        run, after = m[0], text[m.end() : m.end() + 1]
-        if _keeps(run) or text[max(0, m.start() - 1) : m.start()] in tuple(ABOUT) or after and (after in "月日号年" or not "一" <= after <= "鿿"):
-            return run
-        unit = run[-1] if run[-1] in LARGE and len(run) > 1 else ""
-        value = quantity(run[:-1] if unit else run)
-        return run if value is None else f"{value}{unit}"
 
-    return re.sub("[零一二三四五六七八九十百千万亿两]+", convert, text)
+def rewritten(text: str, changes: Iterable[tuple[int, int, str]]) -> str:
+    """The text with parts replaced; the parts come in order and don't overlap."""
+    out, at = [], 0
+    for a, b, new in changes:
+        out += (text[at:a], new)
+        at = b
+    return "".join((*out, text[at:]))
 
 
-def convert_dates(text: str) -> str:
-    """二零二六年九月二十八日 to 2026年9月28日, and bare years; what is out of range stays."""
-
-    def date(m: re.Match) -> str:
-        y, mo, d = map(small_number, m.groups())
-        return f"{y}年{mo}月{d}日" if None not in (y, mo, d) and 1000 <= y <= 2999 and 1 <= mo <= 12 and 1 <= d <= 31 else m[0]
+def convert_numbers(text: str) -> str:
+    return rewritten(text, number_changes(text))
 
-    def year(m: re.Match) -> str:
-        y = small_number(m[1])
-        return f"{y}年" if y is not None and 1000 <= y <= 2999 else m[0]
 
-    text = re.sub("([零一二三四五六七八九]{4})年[，,]?\\s*([一二三四五六七八九十]{1,3})月[，,]?\\s*([一二三四五六七八九十]{1,3})日", date, text)
-    return re.sub("([零一二三四五六七八九]{4})年(?![，,]?\\s*[一二三四五六七八九十]{1,3}月)", year, text)
+def convert_dates(text: str) -> str:
+    """二零二六年九月二十八日 to 2026年9月28日, and bare years."""
+    return rewritten(text, date_changes(text))
 
 
 def clock(seconds: Column) -> Column:

@@ -68,15 +68,20 @@ def mean_similarity(df: DataFrame) -> DataFrame:
     return units.join(sums, "label").select("vec_id", "label", F.when(F.col("size") > 1, inner / (F.col("size") - 1)).otherwise(0.0).alias("centrality"))
 
 
-def silhouette(df: DataFrame, blocks: int = 8) -> DataFrame:
+def silhouette(df: DataFrame, blocks: int = 8, broadcast_labels: int = 10_000) -> DataFrame:
     """``n, silhouette``: mean silhouette by cosine distance; vectors alone in their label are left out, fewer than two labels give 0.
 
-    Mean distances come from the labels' sums, so each vector meets each label once and no other vector.
+    Mean distances come from the labels' sums, so each vector meets each label once and no other vector. The sums
+    travel to the vectors while there are at most ``broadcast_labels`` (counted first); beyond that the labels lie in
+    blocks, and a vector goes to each block in a salted part of it.
     """
     units, sums = _centroids(df)
-    # Every vector meets every label: the labels lie in blocks, and a vector goes to each block.
-    block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    apart = units.select("vec_id", F.col("label").alias("own"), "u", block).join(sums.withColumn("block", F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int")), "block")
+    if df.select("label").distinct().limit(broadcast_labels + 1).count() <= broadcast_labels:
+        apart = units.withColumnRenamed("label", "own").withColumn("one", F.lit(1)).join(F.broadcast(sums.withColumn("one", F.lit(1))), "one").drop("one")
+    else:
+        salt = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = units.select("vec_id", F.col("label").alias("own"), "u", salt(blocks).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt"))
+        apart = left.join(sums.withColumn("block", F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(63).cast("bigint")))), ["block", "salt"])
     same = F.col("own") == F.col("label")
     near = dot(F.col("u"), F.col("c"))
     mean = F.when(same, (F.col("size") - 1 - (near - dot(F.col("u"), F.col("u")))) / (F.col("size") - 1)).otherwise(1 - near / F.col("size"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from castwright.functions.vectors import dot, unit
 
 SAME_VOICE = 0.31
 
@@ -51,6 +54,13 @@ def medoid_labels(units: np.ndarray, k: int, rounds: int = 25) -> list[int]:
     return sim[:, medoids].argmax(axis=1).tolist()
 
 
+def zero_shares(df: DataFrame, by: str) -> DataFrame:
+    """``by, zeros``: the share of the similarities of different vectors of a group that are (nearly) zero; groups of one have none."""
+    v = df.where("embedding is not null").select(by, "vec_id", unit(F.col("embedding")).alias("u"))
+    pairs = v.join(v.select(by, F.col("vec_id").alias("other"), F.col("u").alias("w")), by).where("vec_id < other")
+    return pairs.groupBy(by).agg(F.avg((dot(F.col("u"), F.col("w")) <= 1e-9).cast("double")).alias("zeros"))
+
+
 def align_voices(df: DataFrame, by: str = "label", k: int | None = None, strict: bool = True) -> DataFrame:
     """``by, vec_id, cluster`` of the vectors of each group in the order of vec_id; greedy, or with ``k`` clusters.
 

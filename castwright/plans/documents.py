@@ -1,75 +1,17 @@
-"""Documents: rendering, sections, bullets, checks and payloads."""
+"""Documents: sections, bullets, the gate of a finished document, tidy payloads."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from castwright.functions.numbers import minutes_seconds
-from castwright.functions.text import as_bold, as_sentence, display_label
-
-# Headings of a finished document in their order, and caps of a payload's lists.
-HEADINGS = ("摘要", "核心观点", "术语表", "问题与思考", "人物简介", "原文转录")
-REQUIRED = ("摘要", "核心观点", "问题与思考", "人物简介", "原文转录", "Show Notes")
-MAX_POINTS, MAX_KEYWORDS, MAX_QUESTIONS = 20, 10, 5
-NONE = "（无）"
-
+from castwright.functions.text import display_label
+from castwright.plans.handoff import MAX_KEYWORDS, MAX_QUESTIONS
 
 def _or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def key_point_lines(points: Column) -> Column:
-    """Lines of key points: bold sentence, evidence, quote in corner brackets, terms as sub-items."""
-
-    def line(p: Column) -> Column:
-        quote = F.trim(_or_empty(p["quote"]))
-        evidence = _or_empty(p["evidence"])
-        head = F.concat(F.lit("- **"), as_sentence(_or_empty(p["point"])), F.lit("**"), F.when(F.trim(evidence) == "", "").otherwise(as_sentence(evidence)), F.when(quote == "", "").otherwise(F.concat(F.lit("「"), quote, F.lit("」"))))
-        terms = F.transform(F.filter(F.coalesce(p["terms"], F.array()), lambda t: F.trim(_or_empty(t["term"])) != ""), lambda t: F.concat(F.lit("  - **"), F.trim(t["term"]), F.lit("**：", ), as_sentence(_or_empty(t["descr"]))))
-        return F.concat(F.array(head), terms)
-
-    return F.flatten(F.transform(F.coalesce(points, F.array()), line))
-
-
-def keyword_lines(keywords: Column) -> Column:
-    """Lines of the glossary; a keyword without explanation stands alone."""
-    kept = F.filter(F.coalesce(keywords, F.array()), lambda k: F.trim(_or_empty(k["keyword"])) != "")
-    return F.transform(kept, lambda k: F.concat(F.lit("- **"), F.trim(k["keyword"]), F.lit("**"), F.when(F.trim(_or_empty(k["descr"])) == "", "").otherwise(F.concat(F.lit("："), as_sentence(k["descr"])))))
-
-
-def question_lines(questions: Column) -> Column:
-    """Numbered bold questions, the answer indented below, a blank line between."""
-    return F.transform(F.coalesce(questions, F.array()), lambda q, i: F.concat((i + 1).cast("string"), F.lit(". "), as_bold(_or_empty(q["question"])), F.when(F.trim(_or_empty(q["answer"])) == "", "").otherwise(F.concat(F.lit("\n   "), F.trim(q["answer"])))))
-
-
-def footer(costs: Column) -> Column:
-    """The cost line; '' without a cost."""
-    llm = F.element_at(costs, F.lit("llm"))
-    return F.when(llm > 0, F.concat(F.lit("LLM 费用约 "), F.format_string("%.4f", llm), F.lit(" 元"))).otherwise("")
-
-
-def time_line(seconds: Column) -> Column:
-    return F.concat(F.lit("耗时 校订 "), minutes_seconds(seconds))
-
-
-def render_markdown(docs: DataFrame) -> DataFrame:
-    """``episode_id, md`` of finished documents, sections in their fixed order; a missing glossary has no section."""
-    section = lambda name, lines, sep="\n": F.concat(F.lit(f"## {name}\n\n"), F.array_join(lines, sep))
-    md = F.concat_ws(
-        "\n\n",
-        F.concat(F.lit("# "), _or_empty(F.col("title"))),
-        F.concat(F.lit("> 来源："), F.concat_ws(" | ", _or_empty(F.col("podcast_name")), _or_empty(F.col("title")), _or_empty(F.col("pub_date")))),
-        section("摘要", F.array(_or_empty(F.col("summary")))),
-        section("核心观点", key_point_lines(F.col("key_points"))),
-        F.when(F.size(keyword_lines(F.col("keywords"))) > 0, section("术语表", keyword_lines(F.col("keywords")))),
-        section("人物简介", F.array(F.when(F.trim(_or_empty(F.col("speaker_intro"))) == "", NONE).otherwise(F.col("speaker_intro")))),
-        section("原文转录", F.array(_or_empty(F.col("full_text")))),
-        F.nullif(footer(F.col("costs")), F.lit("")),
-    )
-    return docs.select("episode_id", md.alias("md"))
-
-
 def sections(docs: DataFrame, key: str = "episode_id", md: str = "md") -> DataFrame:
     """``key, sec_no, heading, body``: the blocks of a document; number 0 is what stands before the first heading.
 
@@ -95,27 +37,6 @@ def bullets(parts: DataFrame, key: str = "episode_id") -> DataFrame:
     )
 
 
-def check_documents(docs: DataFrame, key: str = "episode_id", md: str = "md") -> DataFrame:
-    """``key, check, n_hits`` for each document and each check that it fails."""
-    parts = sections(docs, key, md)
-    by = section_map(parts, key)
-    heads = docs.select(key).distinct().select(key, F.explode(F.array(*map(F.lit, REQUIRED))).alias("heading"))
-    missing = heads.join(by, [key, "heading"], "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("n_hits")).select(key, F.lit("V1").alias("check"), "n_hits")
-    blank = by.where("trim(regexp_replace(body, '\\\\s+', '')) = ''").groupBy(key).agg(F.count(F.lit(1)).alias("n_hits")).select(key, F.lit("V2").alias("check"), "n_hits")
-    pre = parts.where("heading = ''").select(key, F.regexp_count("body", F.lit(r"(?m)^> 来源：[^\n|]*\|[^\n|]*\|")).alias("n"))
-    source = docs.select(key).distinct().join(pre, key, "left").where("coalesce(n, 0) = 0").select(key, F.lit("V3").alias("check"), F.lit(1).cast("bigint").alias("n_hits"))
-    lines = by.where("heading in ('核心观点', '术语表', '人物简介', '原文转录')").select(key, "heading", F.explode(F.split("body", "\n")).alias("line"))
-    rules = [
-        ("V5", "核心观点", r"^\s*-\s(?!.*\*\*.+\*\*)"), ("V6", "核心观点", r"^-\s+\*\*[^*]+\*\*："), ("V7", "核心观点", r"^>"), ("V8", "核心观点", r"^[「“][^」”]*[」”]$"),
-        ("V15", "术语表", r"^-\s(?!\*\*[^*]+\*\*：)"), ("V16", "术语表", r"^-\s.*[^。.\s]\s*$"), ("V18", "人物简介", r"^-\s(?!\*\*[^*]+\*\*：)"), ("V19", "原文转录", r"^\*\*[^*]+\*\*："),
-        ("V21", "原文转录", r"\[SPEAKER_\d+\]"), ("V26", "原文转录", r"^【[^】]*】.*[，,]$"),
-    ]
-    failed = F.array_compact(F.array(*[F.when((F.col("heading") == h) & F.col("line").rlike(p), F.lit(c)) for c, h, p in rules]))
-    by_line = lines.select(key, F.explode(failed).alias("check")).groupBy(key, "check").agg(F.count(F.lit(1)).alias("n_hits"))
-    fences = docs.select(key, F.regexp_count(F.col(md), F.lit("```")).cast("bigint").alias("n_hits")).where("n_hits % 2 = 1").select(key, F.lit("V32").alias("check"), "n_hits")
-    return missing.unionByName(blank).unionByName(source).unionByName(by_line).unionByName(fences)
-
-
 def gate(docs: DataFrame, questions: str = "questions") -> DataFrame:
     """``episode_id, blocking``: what keeps a document from being finished, in order; an empty array passes."""
     blank = lambda c: F.trim(_or_empty(F.col(c))) == ""
@@ -137,87 +58,12 @@ def tidy_payload(struct_out: DataFrame) -> DataFrame:
     return struct_out.select("episode_id", "run_no", F.slice(keywords, 1, MAX_KEYWORDS).alias("keywords"), F.slice(questions, 1, MAX_QUESTIONS).alias("questions"), text(F.col("summary")).alias("summary"), "speaker_mapping")
 
 
-def parse_payload(df: DataFrame, key: str, raw: str) -> DataFrame:
-    """``key, summary, points, keywords``: fields of model JSON, item by item; malformed JSON gives empty fields."""
-    v = F.try_parse_json(F.col(raw))
-    items = lambda path: F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
-    is_object = lambda x: F.schema_of_variant(x).startswith("OBJECT")
-    field = lambda x, p: F.trim(F.coalesce(F.try_variant_get(x, p, "string"), F.lit("")))
-    points = F.transform(F.slice(F.filter(items("$.key_points"), is_object), 1, MAX_POINTS), lambda x: F.struct(field(x, "$.point").alias("point"), field(x, "$.evidence").alias("evidence"), field(x, "$.quote").alias("quote")))
-    words = F.transform(F.filter(items("$.keywords"), is_object), lambda x: F.struct(field(x, "$.keyword").alias("keyword"), field(x, "$.desc").alias("descr")))
-    return df.select(key, field(v, "$.summary").alias("summary"), F.filter(points, lambda p: p["point"] != "").alias("points"), F.slice(F.filter(words, lambda k: k["keyword"] != ""), 1, MAX_KEYWORDS).alias("keywords"))
-
-
 def substitute_labels(text: Column, mapping: Column) -> Column:
     """Each [SPEAKER_n] of the mapping becomes its display label, in the order of the labels."""
     pairs = F.array_sort(F.map_entries(F.coalesce(mapping, F.create_map().cast("map<string,string>"))))
     return F.aggregate(pairs, text, lambda t, e: F.replace(t, F.concat(F.lit("["), e["key"], F.lit("]")), display_label(e["value"])))
 
 
-def term_variants(term: Column) -> Column:
-    """Main form, inner form of brackets, the original, and parts at slashes; two characters at least, in order, once each."""
-    main, inner = F.trim(F.regexp_replace(term, "[（(].*?[）)]", "")), F.trim(F.regexp_extract(term, "[（(](.*?)[）)]", 1))
-    parts = F.concat(F.array(main, inner, F.trim(term)), F.transform(F.split(main, "/"), lambda p: F.trim(p)))
-    return F.array_distinct(F.filter(parts, lambda p: F.length(p) >= 2))
-
-
-def classify_terms(docs: DataFrame) -> DataFrame:
-    """``episode_id, term_no, term, state, target``: glossary terms that a key point already has as a term (dup), that a key point mentions (inline, with its number), or neither (keep)."""
-    terms = docs.select("episode_id", F.posexplode("keywords").alias("term_no", "k"), F.transform("key_points", lambda p: F.concat(_or_empty(p["point"]), _or_empty(p["evidence"]))).alias("points"), F.flatten(F.transform("key_points", lambda p: F.transform(F.coalesce(p["terms"], F.array()), lambda t: F.trim(t["term"])))).alias("has"))
-    v = terms.where("trim(k.keyword) <> ''").withColumn("variants", term_variants(F.col("k.keyword")))
-    # Variants outside, bullets inside: the first variant that any bullet holds decides.
-    spots = F.filter(F.transform("variants", lambda t: F.array_position(F.transform("points", lambda p: F.contains(p, t)), True)), lambda i: i > 0)
-    dup = F.arrays_overlap("variants", "has")
-    return v.select("episode_id", "term_no", F.trim("k.keyword").alias("term"), F.when(dup, "dup").when(F.size(spots) > 0, "inline").otherwise("keep").alias("state"), F.when(~F.coalesce(dup, F.lit(False)) & (F.size(spots) > 0), F.element_at(spots, 1) - 1).cast("int").alias("target"))
-
-
-def merge_blocks(text: Column) -> Column:
-    """Neighbouring blocks of one 【label】 as one block; a block without label belongs to the one before it.
-
-    Between the parts stands a period unless a mark does; a comma at the end of the whole becomes a period.
-    """
-    blocks = F.filter(F.transform(F.split(text, r"\n\s*\n|\n(?=【)"), lambda b: F.trim(b)), lambda b: b != "")
-    label = lambda b: F.regexp_extract(b, r"^(【[^】]*】)", 1)
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("label"), F.lit("").alias("open"))
-
-    def step(acc: Column, b: Column) -> Column:
-        body = F.trim(F.regexp_replace(b, r"^【[^】]*】", ""))
-        joins = (acc["open"] != "") & ((label(b) == "") | (label(b) == acc["label"]))
-        glue = F.when(acc["open"].rlike(r"[。！？…，、；：.!?,;:」”）)]$"), "").otherwise("。")
-        return F.struct(
-            F.when(joins | (acc["open"] == ""), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))).alias("done"),
-            F.when(joins, acc["label"]).otherwise(label(b)).alias("label"),
-            F.when(joins, F.concat(acc["open"], glue, body)).otherwise(b).alias("open"),
-        )
-
-    whole = F.aggregate(blocks, start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
-    return F.array_join(F.transform(whole, lambda b: F.regexp_replace(b, "[，,]$", "。")), "\n\n")
-
-
-def stale_anchors(docs: DataFrame) -> DataFrame:
-    """``episode_id, kp_no, anchor, repaired``: anchors that the text doesn't hold, with the first cleaned form that it holds."""
-    a = docs.select("episode_id", "full_text", F.posexplode(F.transform("key_points", lambda k: k["anchor"])).alias("at", "anchor")).where("anchor is not null and anchor <> '' and full_text is not null")
-    forms = [F.trim("anchor"), F.regexp_replace("anchor", r"[，。！？、；：,.!?;:]+$", ""), F.regexp_replace("anchor", r"\s+", "")]
-    repaired = F.coalesce(*[F.when((f != "") & F.contains("full_text", f), f) for f in forms])
-    return a.where(~F.contains("full_text", "anchor")).select("episode_id", (F.col("at") + 1).alias("kp_no"), "anchor", repaired.alias("repaired"))
-
-
-def inline_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Documents without the glossary items that are 'dup' or 'inline'; an inline item becomes a term of its key point.
-
-    ``terms`` is the result of ``classify_terms``; applying it again changes nothing. ``n_dup`` and ``n_inline`` count.
-    """
-    per = terms.groupBy("episode_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("term_no", F.struct("state", "target"))))).alias("states"))
-    d = docs.join(per, "episode_id", "left")
-    state = lambda i: F.element_at("states", i)
-    indexed = F.transform(F.coalesce("keywords", F.array()), lambda k, i: F.struct(k.alias("k"), i.alias("i")))
-    moved = F.filter(indexed, lambda x: F.coalesce(state(x["i"])["state"] == "inline", F.lit(False)))
-    kept = F.transform(F.filter(indexed, lambda x: F.coalesce(state(x["i"])["state"], F.lit("keep")) == "keep"), lambda x: x["k"])
-    points = F.transform("key_points", lambda p, j: p.withField("terms", F.concat(F.coalesce(p["terms"], F.array()), F.transform(F.filter(moved, lambda x: state(x["i"])["target"] == j), lambda x: F.struct(x["k"]["keyword"].alias("term"), x["k"]["descr"].alias("descr"))))))
-    n = lambda s: F.size(F.filter(indexed, lambda x: F.coalesce(state(x["i"])["state"] == s, F.lit(False))))
-    return d.select(*[c for c in docs.columns if c not in ("key_points", "keywords")], points.alias("key_points"), kept.alias("keywords"), n("dup").alias("n_dup"), n("inline").alias("n_inline"))
-
-
 def turn_checks(turns: DataFrame) -> DataFrame:
     """``episode_id, check, n_hits`` on speaker turns (``key``, ``n``): V23 one speaker has more than 85 % of four turns or more, V24 three turns in a row."""
     per = turns.groupBy("episode_id", "key").agg(F.count(F.lit(1)).alias("k")).groupBy("episode_id").agg(F.sum("k").alias("total"), F.max("k").alias("top"))

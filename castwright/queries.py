@@ -2,36 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from castwright import oracles
-from castwright.functions import anchors, numbers, text
-from castwright.operators import aggregates, chunks, clusters, islands, joins, speakers
+from castwright.functions import numbers, text
+from castwright.operators import aggregates, chunks, islands, joins
 from castwright.operators.intervals import merge_intervals
 from castwright.plans import cache, documents
+from castwright.registry import QUERIES, SQL, query  # noqa: F401
 from castwright.session import table
 from castwright.sources import pages
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query, with its SQL if there is one."""
-
-    def put(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return put
-
-
 _PERIODS_SQL = """
 with s as (select episode_id, start_ms, end_ms from segments where start_ms is not null and end_ms is not null and end_ms > start_ms),
 m as (select *, max(end_ms) over (partition by episode_id order by start_ms, end_ms rows between unbounded preceding and 1 preceding) as high from s),
@@ -68,20 +50,6 @@ def j1_overlap_speaker(spark: SparkSession, d: str) -> DataFrame:
     return joins.overlap_speaker(table(spark, d, "segments"), table(spark, d, "diar_segments"))
 
 
-@query(
-    "j2_points_in_intervals",
-    """
-    with p as (select distinct episode_id, start_ms as at_ms from diar_segments where start_ms is not null),
-    s as (select distinct episode_id, seg_no, start_ms, end_ms from segments where start_ms is not null and end_ms > start_ms)
-    select p.episode_id, seg_no, count(*) as n_points, min(at_ms) as first_ms from p join s on p.episode_id = s.episode_id and start_ms <= at_ms and at_ms < end_ms group by 1, 2
-    """,
-)
-def j2_points_in_intervals(spark: SparkSession, d: str) -> DataFrame:
-    points = table(spark, d, "diar_segments").select("episode_id", F.col("start_ms").alias("at_ms")).distinct()
-    seg = table(spark, d, "segments").select("episode_id", "seg_no", "start_ms", "end_ms").distinct()
-    return joins.points_in_intervals(points, seg).groupBy("episode_id", "seg_no").agg(F.count(F.lit(1)).alias("n_points"), F.min("at_ms").alias("first_ms"))
-
-
 @query(
     "j3_lookup_with_fallback",
     """
@@ -182,11 +150,6 @@ _COS = "list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) / (a
 _VEC_SQL = "u as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v, sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))) as n from embeddings)"
 
 
-@query("a12_pairwise_percentile", f"with {_VEC_SQL} select a.label, count(*) as n, round(quantile_cont(greatest({_COS}, 0), 0.1), 6) as p from u a join u b on a.label = b.label and a.vec_id < b.vec_id group by 1")
-def a12_pairwise_percentile(spark: SparkSession, d: str) -> DataFrame:
-    return aggregates.pairwise_percentile(table(spark, d, "embeddings")).select("label", "n", F.round("p", 6).alias("p"))
-
-
 @query(
     "a13_silhouette",
     f"""with {_VEC_SQL}, m as (select a.vec_id, a.label as own, b.label as lab, avg(1 - {_COS}) as dist from u a join u b on a.vec_id <> b.vec_id group by 1, 2, 3),
@@ -202,21 +165,6 @@ def a15_centrality(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.mean_similarity(table(spark, d, "embeddings")).select("vec_id", "label", F.round("centrality", 6).alias("centrality"))
 
 
-@query("a19_costs", "select episode_id, cast(count(*) as bigint) as n, round(sum(coalesce(cost_yuan, 0)), 6) as yuan, bool_or(cost_yuan is null) as unknown from (select distinct episode_id, cost_yuan, duration_sec from transcripts) group by 1")
-def a19_costs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "transcripts").select("episode_id", "cost_yuan", "duration_sec").distinct().groupBy("episode_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.coalesce("cost_yuan", F.lit(0.0))), 6).alias("yuan"), F.bool_or(F.col("cost_yuan").isNull()).alias("unknown"))
-
-
-@query("m3_greedy_voices")
-def m3_greedy_voices(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.align_voices(table(spark, d, "embeddings"), strict=False)
-
-
-@query("m4_medoid_voices")
-def m4_medoid_voices(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.align_voices(table(spark, d, "embeddings"), k=2, strict=False)
-
-
 # --- Ordered sequences -------------------------------------------------------------------------------------------
 
 _ONCE = "o as (select distinct episode_id, seg_no, coalesce(speaker, '') as key, coalesce(start_ms, 0) as start_ms, coalesce(end_ms, 0) as end_ms, coalesce(text, '') as text from segments)"
@@ -298,12 +246,6 @@ def n9_end_turns(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "output_docs").select("episode_id", text.end_turns(F.col("full_text")).alias("t"))
 
 
-@query("n11_clean_documents")
-def n11_clean_documents(spark: SparkSession, d: str) -> DataFrame:
-    parts = documents.sections(documents.render_markdown(table(spark, d, "output_docs")))
-    return parts.select("episode_id", "sec_no", "heading", text.clean_block(F.col("body"), F.concat(F.lit("## "), F.col("heading"))).alias("body"))
-
-
 @query("n12_count_marks")
 def n12_count_marks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "transcripts").select("episode_id", text.count_marks(F.col("raw_text")).alias("n"))
@@ -342,11 +284,6 @@ def n_bare_text(spark: SparkSession, d: str) -> DataFrame:
 _CLOCK = "cast(round_even(end_ms / 1000.0, 0) as bigint)"
 
 
-@query("d5_clock", f"select episode_id, seg_no, case when end_ms is null then '??:??' when {_CLOCK} >= 3600 then printf('%d:%02d:%02d', {_CLOCK} // 3600, {_CLOCK} % 3600 // 60, {_CLOCK} % 60) else printf('%02d:%02d', {_CLOCK} // 60, {_CLOCK} % 60) end as t from segments where coalesce(end_ms, 0) >= 0")
-def d5_clock(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "segments").where("coalesce(end_ms, 0) >= 0").select("episode_id", "seg_no", numbers.clock(F.col("end_ms") / 1000.0).alias("t"))
-
-
 @query("d6_minutes", "select distinct episode_id, cast(floor(trunc(duration_sec) / 60) as bigint) || '分' || cast(trunc(duration_sec) as bigint) % 60 || '秒' as t from transcripts")
 def d6_minutes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "transcripts").select("episode_id", numbers.minutes_seconds(F.col("duration_sec")).alias("t")).distinct()
@@ -381,61 +318,9 @@ def s3_page_fields(spark: SparkSession, d: str) -> DataFrame:
     return e.select("episode_id", pages.episode_id_of(F.col("url")).alias("page_id"), pages.looks_like_audio(F.col("audio_url")).alias("is_audio"), pages.audio_extension(F.col("audio_url")).alias("extension")).distinct()
 
 
-@query(
-    "x7_rosters",
-    "select episode_id, cast(count(*) as bigint) as n_rows, cast(sum(case when regexp_matches(coalesce(show_notes, ''), '(?m)^\\s*【?(主播|嘉宾|主持|主理|客座)(人|简介)?】?\\s*[:：\\s]') then 1 else 0 end) as bigint) as with_roster from episodes group by 1",
-)
-def x7_rosters(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "episodes").groupBy("episode_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.coalesce("show_notes", F.lit("")).rlike(rf"(?m)^\s*【?(?:{speakers.ROLE_WORDS})(?:人|简介)?】?\s*[:：\s]")).alias("with_roster"))
-
-
-@query("x7_roster_names")
-def x7_roster_names(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "episodes").select("episode_id", F.explode(speakers.roster_of(F.col("show_notes"))).alias("r")).select("episode_id", "r.role", "r.name").distinct()
-
-
-@query("r12_resolved_speakers")
-def r12_resolved_speakers(spark: SparkSession, d: str) -> DataFrame:
-    return speakers.resolve_speakers(speakers.cluster_signals(table(spark, d, "segments")), x7_roster_names(spark, d))
-
-
 # --- Documents ---------------------------------------------------------------------------------------------------
 
 
-@query("k1_markdown", oracles.MARKDOWN)
-def k1_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return documents.render_markdown(table(spark, d, "output_docs"))
-
-
-@query("sections", oracles.SECTIONS)
-def section_bodies(spark: SparkSession, d: str) -> DataFrame:
-    return documents.section_map(documents.sections(k1_markdown(spark, d)))
-
-
-@query("v_checks", oracles.CHECKS)
-def v_checks(spark: SparkSession, d: str) -> DataFrame:
-    return documents.check_documents(k1_markdown(spark, d))
-
-
-@query("bullets", oracles.BULLETS)
-def bullet_lines(spark: SparkSession, d: str) -> DataFrame:
-    return documents.bullets(documents.sections(k1_markdown(spark, d)))
-
-
-_BLANK = "trim(coalesce({c}, '')) = ''"
-
-
-@query(
-    "v13_gate",
-    f"""select episode_id, list_filter([case when {_BLANK.format(c='title')} then 'title' end, case when {_BLANK.format(c='podcast_name')} then 'podcast' end, case when {_BLANK.format(c='pub_date')} then 'date' end,
-    case when {_BLANK.format(c='full_text')} then 'full_text' end, case when {_BLANK.format(c='summary')} then 'summary' end, case when len(coalesce(key_points, [])) = 0 then 'key_points' end,
-    case when len(list_filter(coalesce(key_points, []), lambda p: trim(coalesce(p.point, '')) = '')) > 0 then 'blank_point' end, 'questions', case when regexp_matches(coalesce(full_text, ''), '\\[SPEAKER_\\d+\\]') then 'labels' end], lambda x: x is not null) as blocking from output_docs""",
-)
-def v13_gate(spark: SparkSession, d: str) -> DataFrame:
-    kind = "array<struct<question:string,answer:string,anchor:string>>"
-    return documents.gate(table(spark, d, "output_docs").withColumn("questions", F.array().cast(kind)))
-
-
 @query(
     "x1_tidy_payloads",
     """select episode_id, run_no, list_filter(list_transform(coalesce(keywords, []), lambda k: {'keyword': trim(coalesce(k.keyword, '')), 'descr': trim(coalesce(k.descr, ''))}), lambda k: k.keyword <> '')[:10] as keywords,
@@ -446,41 +331,6 @@ def x1_tidy_payloads(spark: SparkSession, d: str) -> DataFrame:
     return documents.tidy_payload(table(spark, d, "struct_out")).drop("speaker_mapping")
 
 
-@query("x1_parsed_payloads", oracles.PAYLOADS)
-def x1_parsed_payloads(spark: SparkSession, d: str) -> DataFrame:
-    raw = table(spark, d, "output_docs").select("episode_id", F.to_json(F.struct("summary", "key_points", "keywords")).alias("raw"))
-    return documents.parse_payload(raw, "episode_id", "raw")
-
-
-@query("g3_terms", oracles.TERMS)
-def g3_terms(spark: SparkSession, d: str) -> DataFrame:
-    return documents.classify_terms(table(spark, d, "output_docs"))
-
-
-@query("r3_questions", "select episode_id, run_no, list_transform(coalesce(questions, []), lambda q, i: i || '. **' || trim(regexp_replace(trim(coalesce(q.question, '')), '^\\*\\*(.*)\\*\\*$', '\\1')) || '**' || case when trim(coalesce(q.answer, '')) = '' then '' else chr(10) || '   ' || trim(q.answer) end) as lines from struct_out where len(list_filter(coalesce(questions, []), lambda q: trim(coalesce(q.question, '')) = '')) = 0")
-def r3_questions(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "struct_out").where(~F.exists(F.coalesce("questions", F.array()), lambda q: F.trim(F.coalesce(q["question"], F.lit(""))) == ""))
-    return s.select("episode_id", "run_no", documents.question_lines(F.col("questions")).alias("lines"))
-
-
-@query("b3_anchors")
-def b3_anchors(spark: SparkSession, d: str) -> DataFrame:
-    quotes = table(spark, d, "output_docs").select("episode_id", "full_text", F.posexplode(F.transform("key_points", lambda k: k["quote"])).alias("kp_no", "quote"))
-    return quotes.select("episode_id", "kp_no", anchors.anchor(F.col("quote"), F.col("full_text")).alias("anchor"))
-
-
-@query("b6_bold_transcripts")
-def b6_bold_transcripts(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "output_docs")
-    runs = table(spark, d, "struct_out").where("episode_id is not null").groupBy("episode_id").agg(F.min_by("questions", F.struct("run_no", F.to_json("questions"))).alias("questions"))
-    o = o.join(runs, "episode_id", "left")
-    short = lambda a, most: F.filter(F.transform(a, lambda x: F.trim(x)), lambda x: F.length(x) <= most)
-    of = lambda c, f: F.transform(F.coalesce(F.col(c), F.array()), f)
-    points = of("key_points", lambda k: F.concat(short(F.array(k["quote"]), 24), short(F.array(k["anchor"]), 40), short(F.transform(F.coalesce(k["terms"], F.array()), lambda t: t["term"]), 12)))
-    marks = F.concat(F.flatten(points), short(of("keywords", lambda k: k["keyword"]), 12), short(of("questions", lambda q: q["anchor"]), 40))
-    return o.select("episode_id", anchors.bold(F.col("full_text"), anchors.longest_first(marks)).alias("t"))
-
-
 @query("k2_packages", oracles.PACKAGES)
 def k2_packages(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "episodes").groupBy("episode_id").agg(F.max_by(F.struct("title", "podcast_name", "pub_date", "show_notes"), "scraped_at").alias("e")).select("episode_id", "e.*")
@@ -510,18 +360,6 @@ def t3_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 # --- Further ones ------------------------------------------------------------------------------------------------
 
 
-@query(
-    "a9_retention",
-    """with o as (select distinct episode_id, length(regexp_replace(coalesce(full_text, ''), '【[^】]*】|\\[SPEAKER_\\d+\\]|[\\s\\p{Z}]+', '', 'g')) as n from output_docs),
-    t as (select distinct episode_id, length(regexp_replace(coalesce(raw_text, ''), '【[^】]*】|\\[SPEAKER_\\d+\\]|[\\s\\p{Z}]+', '', 'g')) as n from transcripts)
-    select o.episode_id, round(o.n / greatest(t.n, 1), 6) as kept from o join t on o.episode_id = t.episode_id""",
-)
-def a9_retention(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "output_docs").select("episode_id", F.length(text.strip_labels(F.coalesce("full_text", F.lit("")))).alias("n")).distinct()
-    t = table(spark, d, "transcripts").select("episode_id", F.length(text.strip_labels(F.coalesce("raw_text", F.lit("")))).alias("m")).distinct()
-    return o.join(t, "episode_id").select("episode_id", F.round(F.col("n") / F.greatest("m", F.lit(1)), 6).alias("kept"))
-
-
 @query("a14_shares", "with c as (select label, count(*) as n from embeddings group by 1), t as (select sum(n) as t from c) select label, n, round(n / t, 4) as share, round((select min(n) from c) / t, 4) as min_share from c, t")
 def a14_shares(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
@@ -549,16 +387,6 @@ def a20_batch_status(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(F.when(F.col("o"), "done").when(F.col("s"), "pending").otherwise("untouched").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    "a23_effective_k",
-    "with r as (select episode_id, count(distinct typed_name) as n from roster where origin = 'show_notes' and cast_role <> '机构' group by 1) select t.episode_id, case when n >= 2 then n end as k, coalesce(duration_sec > 720, false) as forced from (select distinct episode_id, duration_sec from transcripts) t left join r on t.episode_id = r.episode_id",
-)
-def a23_effective_k(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "roster").where("origin = 'show_notes' and cast_role <> '机构'").groupBy("episode_id").agg(F.count_distinct("typed_name").alias("n"))
-    t = table(spark, d, "transcripts").select("episode_id", "duration_sec").distinct()
-    return t.join(r, "episode_id", "left").select("episode_id", F.when(F.col("n") >= 2, F.col("n")).alias("k"), F.coalesce(F.col("duration_sec") > 720, F.lit(False)).alias("forced"))
-
-
 _LABEL_OF = lambda x: f"'【' || trim(split_part(regexp_replace(regexp_replace(trim(coalesce({x}, '')), '^(主持人|主理人|主播|主持|主理|嘉宾|客座)[：:\\s]*', ''), '[（(][^（）()]*[）)]', '', 'g'), '·', 1)) || '】'"
 
 
@@ -579,16 +407,6 @@ def j5_substituted_labels(spark: SparkSession, d: str) -> DataFrame:
     return t.join(s, "episode_id").select("episode_id", documents.substitute_labels(F.col("raw_text"), F.col("m")).alias("t"))
 
 
-@query(
-    "j18_stale_anchors",
-    """with a as (select episode_id, full_text, unnest(list_transform(key_points, lambda k: k.anchor)) as anchor, cast(unnest(range(len(key_points))) + 1 as int) as kp_no from output_docs where full_text is not null),
-    s as (select *, trim(anchor) as f1, regexp_replace(anchor, '[，。！？、；：,.!?;:]+$', '') as f2, regexp_replace(anchor, '\\s+', '', 'g') as f3 from a where coalesce(anchor, '') <> '' and not contains(full_text, anchor))
-    select episode_id, kp_no, anchor, coalesce(case when f1 <> '' and contains(full_text, f1) then f1 end, case when f2 <> '' and contains(full_text, f2) then f2 end, case when f3 <> '' and contains(full_text, f3) then f3 end) as repaired from s""",
-)
-def j18_stale_anchors(spark: SparkSession, d: str) -> DataFrame:
-    return documents.stale_anchors(table(spark, d, "output_docs"))
-
-
 @query("j20_changed_lines")
 def j20_changed_lines(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "output_docs").select("episode_id", F.split("full_text", "\n").alias("a"), F.split(text.clean_marks(F.col("full_text")), "\n").alias("b"))
@@ -596,23 +414,6 @@ def j20_changed_lines(spark: SparkSession, d: str) -> DataFrame:
     return o.select("episode_id", F.aggregate(F.zip_with(F.slice("a", F.lit(1), n), F.slice("b", F.lit(1), n), lambda x, y: F.when(x == y, 0).otherwise(1)), F.lit(0), lambda s, x: s + x).alias("changed"))
 
 
-@query("g4_inlined_terms")
-def g4_inlined_terms(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "output_docs").dropDuplicates(["episode_id"])
-    out = documents.inline_terms(o, documents.classify_terms(o))
-    return out.select("episode_id", "n_dup", "n_inline", F.size("keywords").alias("n_kept"), F.aggregate("key_points", F.lit(0), lambda s, p: s + F.size(F.coalesce(p["terms"], F.array()))).alias("n_terms"))
-
-
-@query("w5_merged_blocks")
-def w5_merged_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "output_docs").select("episode_id", documents.merge_blocks(F.col("full_text")).alias("t"))
-
-
-@query("w7_chunk_times", "select episode_id, seg_no, start_ms // 600000 as chunk_idx, start_ms - (start_ms // 600000) * 600000 as local_ms from segments where start_ms >= 0")
-def w7_chunk_times(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "segments").where("start_ms >= 0").select("episode_id", "seg_no", F.expr("start_ms div 600000").alias("chunk_idx"), F.expr("start_ms % 600000").alias("local_ms"))
-
-
 @query(
     "v23_turn_shares",
     f"""with r as ({_islands_sql("").replace("{}", "")}), p as (select episode_id, sum(k) as total, max(k) as top from (select episode_id, key, count(*) as k from r group by 1, 2) group by 1)
@@ -639,18 +440,10 @@ def u7_sorted_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "transcripts").where("raw_text is not null").select("episode_id", F.array_sort(F.array_distinct(F.regexp_extract_all("raw_text", F.lit(r"(\[SPEAKER_\d+\])"), F.lit(1)))).alias("labels"))
 
 
-@query("t1_cache_put", "select distinct left(sha256(trim(coalesce(url, '') || '|' || coalesce(pub_date, '') || '|final', '|')), 16) as key, url, 'final' as stage from episodes")
-def t1_cache_put(spark: SparkSession, d: str) -> DataFrame:
-    entries = table(spark, d, "episodes").select(cache.episode_key(F.col("url"), F.col("pub_date"), F.lit("final")).alias("key"), "url", F.lit("final").alias("stage")).distinct()
-    return cache.put(cache.put(entries.where(F.lit(False)), entries), entries)
-
-
 @query("k9_quality", "select case when n = 0 then 'final' else 'degraded' end as quality, count(*) as n_docs from (select len(coalesce(warnings, [])) as n from output_docs) group by 1")
 def k9_quality(spark: SparkSession, d: str) -> DataFrame:
     n = F.size(F.coalesce("warnings", F.array().cast("array<string>")))
     return table(spark, d, "output_docs").groupBy(F.when(n == 0, "final").otherwise("degraded").alias("quality")).agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-@query("k3_handoff")
-def k3_handoff(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "output_docs").select("episode_id", F.to_json(F.struct("title", "podcast_name", "pub_date", "summary", "key_points", "keywords")).alias("handoff"))
+from castwright import document_queries, speaker_queries  # noqa: E402, F401

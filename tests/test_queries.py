@@ -48,10 +48,13 @@ def test_core_does_not_import_llm():
             assert "castwright.llm" not in open(f, encoding="utf-8").read(), f
 
 
-def test_bold_takes_all_sources(spark, tmp_path):
+def test_bold_takes_all_sources(spark):
+    from pyspark.sql import functions as F
+
+    from castwright.functions import anchors
+
     points = "array<struct<point:string,evidence:string,quote:string,anchor:string,terms:array<struct<term:string,descr:string>>>>"
-    spark.createDataFrame([("e1", "quoted words, anchor one, some term, key word, asked here.", [("p", "", " quoted words ", "anchor one", [("some term", "")])], [("key word", "")]), ("e2", "asked here", None, None)],
-        f"episode_id string, full_text string, key_points {points}, keywords array<struct<keyword:string,descr:string>>").write.parquet(f"{tmp_path}/output_docs.parquet")
-    spark.createDataFrame([("e1", 1, [("q", "a", "asked here")]), ("e1", 2, [("q", "a", "words")])], "episode_id string, run_no int, questions array<struct<question:string,answer:string,anchor:string>>").write.parquet(f"{tmp_path}/struct_out.parquet")
-    got = {r.episode_id: r.t for r in queries.QUERIES["b6_bold_transcripts"](spark, str(tmp_path)).collect()}
+    rows = [("e1", "quoted words, anchor one, some term, key word, asked here.", [("p", "", " quoted words ", "anchor one", [("some term", "")])], [("key word", "")], [("q", "a", "asked here")]), ("e2", "asked here", None, None, None)]
+    df = spark.createDataFrame(rows, f"episode_id string, full_text string, key_points {points}, keywords array<struct<keyword:string,descr:string>>, questions array<struct<question:string,answer:string,anchor:string>>")
+    got = {r.episode_id: r.t for r in df.select("episode_id", anchors.bold(F.col("full_text"), anchors.document_anchors(F.col("key_points"), F.col("keywords"), F.col("questions"))).alias("t")).collect()}
     assert got == {"e1": "**quoted words**, **anchor one**, **some term**, **key word**, **asked here**.", "e2": "asked here"}
