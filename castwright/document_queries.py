@@ -429,12 +429,12 @@ def o10_retried_k(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "r15_backends",
-    f"""with {_SWEEP}, b as (select episode_id, arg_max(k, silhouette) as k, bool_or(silhouette >= 0.12 and min_share >= 0.05) as ok, count(*) as n from sweep group by 1)
+    f"""with {_SWEEP}, b as (select episode_id, -max(struct_pack(s := silhouette, m := -k)).m as k, bool_or(silhouette >= 0.12 and min_share >= 0.05) as ok, count(*) as n from sweep group by 1)
     select episode_id, case when ok then 'wespeaker' when k >= 3 then 'wespeaker' else 'campplus' end as backend, greatest(2, k) as k from b""",
 )
 def r15_backends(spark: SparkSession, d: str) -> DataFrame:
     """The choice where a probe suggests something, and where it gives nothing."""
-    b = _sweep(spark, d).groupBy("episode_id").agg(F.max_by("k", "silhouette").alias("k"), F.bool_or(F.expr("silhouette >= 0.12 and min_share >= 0.05")).alias("ok"))
+    b = _sweep(spark, d).groupBy("episode_id").agg((-F.max(F.struct("silhouette", (-F.col("k")).alias("m")))["m"]).alias("k"), F.bool_or(F.expr("silhouette >= 0.12 and min_share >= 0.05")).alias("ok"))
     none = F.lit(None).cast("int")
     return b.select("episode_id", backend.chosen_backend(F.lit(False), F.lit(True), F.when(F.col("ok"), "wespeaker"), F.lit(False), F.col("k")).alias("backend"), backend.effective_k(none, none, none, F.col("k")).alias("k"))
 
@@ -449,3 +449,39 @@ def a22_real_time(spark: SparkSession, d: str) -> DataFrame:
 def d5_clock(spark: SparkSession, d: str) -> DataFrame:
     """Times before 0 show as 0."""
     return table(spark, d, "segments").select("episode_id", "seg_no", numbers.clock(F.when(F.col("end_ms") < 0, 0.0).otherwise(F.col("end_ms") / 1000.0)).alias("t"))
+
+
+@query("a11_glossary_issues", f"with g as ({oracles.TERMS}) select episode_id, cast(count(*) as bigint) as n from g where state <> 'keep' group by 1")
+def a11_glossary_issues(spark: SparkSession, d: str) -> DataFrame:
+    return g3_terms(spark, d).where("state <> 'keep'").groupBy("episode_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+_MARKS, _HAN = text.FULL_MARKS, text.HAN
+
+
+@query("n2_tight_marks", f"select episode_id, regexp_replace(regexp_replace(regexp_replace(full_text, '([{_MARKS}]) +([{_HAN}])', '\\1\\2', 'g'), '([{_HAN}])([{_MARKS}]) +([A-Za-z0-9])', '\\1\\2\\3', 'g'), '([{_HAN}]) +([{_MARKS}])', '\\1\\2', 'g') as t from output_docs")
+def n2_tight_marks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "output_docs").select("episode_id", text.tighten_marks(F.col("full_text")).alias("t"))
+
+
+_SPOILT = "regexp_replace(regexp_replace(full_text, '。', '，。、', 'g'), '，', '，、', 'g')"
+_UNSTACKED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '[，、；：]+([。！？])', '\\1', 'g'), '([。！？])[，、；：]+', '\\1', 'g'), '([，、])[，、]+', '\\1', 'g'), '。。+', '。', 'g'), '！！+', '！', 'g'), '？？+', '？', 'g')"
+
+
+@query("n3_unstacked_marks", f"select episode_id, {_UNSTACKED.format(x=_SPOILT)} as t from output_docs")
+def n3_unstacked_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Marks that were stacked come down again."""
+    spoilt = F.regexp_replace(F.regexp_replace("full_text", "。", "，。、"), "，", "，、")
+    return table(spark, d, "output_docs").select("episode_id", text.unstack_marks(spoilt).alias("t"))
+
+
+@query("n17_sentences", f"select distinct episode_id, p as raw, {oracles.sent('p')} as t from (select episode_id, unnest(list_transform(key_points, lambda k: coalesce(k.evidence, ''))) as p from output_docs)")
+def n17_sentences(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "output_docs").select("episode_id", F.explode(F.transform("key_points", lambda k: F.coalesce(k["evidence"], F.lit("")))).alias("raw"))
+    return p.select("episode_id", "raw", text.as_sentence(F.col("raw")).alias("t")).distinct()
+
+
+@query("n18_bold_questions", f"select distinct episode_id, q as raw, {oracles.bolded('q')} as t from (select episode_id, unnest(list_transform(questions, lambda k: coalesce(k.question, ''))) as q from struct_out)")
+def n18_bold_questions(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "struct_out").select("episode_id", F.explode(F.transform("questions", lambda k: F.coalesce(k["question"], F.lit("")))).alias("raw"))
+    return q.select("episode_id", "raw", text.as_bold(F.col("raw")).alias("t")).distinct()

@@ -7,17 +7,29 @@ from pyspark.sql import functions as F
 
 
 def pack_lines(text: Column, limit: int = 8000) -> Column:
-    """Whole lines packed to chunks of at most ``limit`` characters; a longer line is cut; ends are stripped."""
-    pieces = F.flatten(F.transform(F.split(text, "\n"), lambda s: F.when(F.length(s) <= limit, F.array(s)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / limit).cast("int")), lambda i: F.substring(s, i * limit + 1, F.lit(limit))))))
+    """Whole lines, with their line breaks, packed to chunks of at most ``limit`` characters; ends are stripped.
+
+    A line above the limit gives pieces of its own, and its rest goes on as a line. An empty text is one empty chunk.
+    """
+    kept = F.split(text, r"(?<=\n)")
+    lines = F.filter(kept, lambda s: s != "")
+    pieces = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / limit).cast("int")), lambda i: F.substring(s, i * limit + 1, F.lit(limit)))
+    cut = F.flatten(F.transform(lines, pieces))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(acc: Column, s: Column) -> Column:
-        joined = F.when(acc["open"] == "", s).otherwise(F.concat(acc["open"], F.lit("\n"), s))
-        fits = F.length(joined) <= limit
-        return F.struct(F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))).alias("done"), F.when(fits, joined).otherwise(s).alias("open"))
+        fits = F.length(acc["open"]) + F.length(s) <= limit
+        done = F.when(fits | (acc["open"] == ""), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
+        return F.struct(done.alias("done"), F.when(fits, F.concat(acc["open"], s)).otherwise(s).alias("open"))
+
+    whole = F.aggregate(cut, start, step, lambda acc: F.when((acc["open"] != "") | (F.size(acc["done"]) == 0), F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]))
+    return F.transform(whole, lambda s: F.regexp_replace(s, r"(?U)\s+\z", ""))
+
 
-    whole = F.aggregate(pieces, start, step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
-    return F.filter(F.transform(whole, lambda s: F.rtrim(F.regexp_replace(s, r"\s+$", ""))), lambda s: s != "")
+def tagged_lines(speaker: Column, text: Column, limit: int = 1500) -> Column:
+    """Lines '[speaker] …' of a turn: its sentences folded to lines of at most ``limit`` characters, each with the label."""
+    sentences = F.filter(F.split(text, "(?<=[。！？；])"), lambda s: s != "")
+    return F.transform(F.filter(F.transform(fold_sentences(sentences, limit), lambda s: F.trim(s)), lambda s: s != ""), lambda s: F.concat(F.lit("["), speaker, F.lit("] "), s))
 
 
 def fold_sentences(sentences: Column, limit: int = 1500) -> Column:

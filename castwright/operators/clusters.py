@@ -79,3 +79,25 @@ def align_voices(df: DataFrame, by: str = "label", k: int | None = None, strict:
         return group[[by, "vec_id"]].assign(cluster=labels)
 
     return df.where("embedding is not null").select(by, "vec_id", "embedding").groupBy(by).applyInPandas(run, f"{by} {kind}, vec_id bigint, cluster int")
+
+
+def sweep(df: DataFrame, by: str, ks: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
+    """``by, k, silhouette, min_share`` of the clusterings of each group into each of ``ks``; groups of at most k vectors are left out."""
+    kind = df.schema[by].dataType.simpleString()
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("vec_id")
+        units, rows = _units(group), []
+        apart = 1 - units @ units.T
+        for k in (k for k in ks if k < len(units)):
+            labels = np.array(medoid_labels(units, k))
+            own = labels[:, None] == labels[None, :]
+            sizes = own.sum(axis=1)
+            within = (apart * own).sum(axis=1) / np.maximum(sizes - 1, 1)
+            other = np.stack([np.where(labels == c, np.inf, apart[:, labels == c].mean(axis=1)) for c in np.unique(labels)]).min(axis=0)
+            most = np.maximum(within, other)
+            value = np.where(most > 0, (other - within) / np.where(most > 0, most, 1), 0)[sizes > 1]
+            rows.append((group[by].iloc[0], k, float(value.mean()) if len(value) and len(np.unique(labels)) > 1 else 0.0, float(np.bincount(labels, minlength=k).min() / len(labels))))
+        return pd.DataFrame(rows, columns=[by, "k", "silhouette", "min_share"])
+
+    return df.where("embedding is not null").select(by, "vec_id", "embedding").groupBy(by).applyInPandas(run, f"{by} {kind}, k int, silhouette double, min_share double")

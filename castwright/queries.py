@@ -201,7 +201,7 @@ def a8_longest_run(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w9_packed_lines")
 def w9_packed_lines(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "transcripts").select("episode_id", F.posexplode(chunks.pack_lines(F.col("raw_text"), 2000)).alias("chunk_no", "text"))
+    return table(spark, d, "transcripts").select("episode_id", F.posexplode(chunks.pack_lines(F.col("raw_text"))).alias("chunk_no", "text"))
 
 
 @query("w8_chunk_context")
@@ -211,7 +211,9 @@ def w8_chunk_context(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w10_folded_sentences")
 def w10_folded_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "output_docs").select("episode_id", F.posexplode(chunks.fold_sentences(text.split_sentences(F.col("full_text")))).alias("line_no", "text"))
+    """Turns as labelled lines of at most 1500 characters."""
+    turns = islands.merge_neighbours(_for_islands(spark, d), gap_ms=None, separator="")
+    return turns.select("episode_id", "first_no", F.posexplode(chunks.tagged_lines(F.col("key"), F.col("text"))).alias("line_no", "line"))
 
 
 @query(

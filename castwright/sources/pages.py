@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from castwright.functions.numbers import publication_day
 
+# Fixed value: a host that delivers audio.
+AUDIO_HOST = "media.xyzcdn.net"
 AUDIO = r"(?i)\.(?:mp3|m4a|wav|ogg)"
 
 
@@ -29,7 +31,8 @@ def episode_id_of(url: Column) -> Column:
 
 
 def looks_like_audio(url: Column) -> Column:
-    return F.coalesce(url.rlike(AUDIO), F.lit(False))
+    """An audio extension anywhere in an address, or the host that delivers audio."""
+    return F.coalesce(url.rlike(AUDIO) | F.contains(url, F.lit(AUDIO_HOST)), F.lit(False))
 
 
 def audio_extension(url: Column) -> Column:
@@ -50,18 +53,50 @@ def meta(html: Column, prop: str) -> Column:
     return F.coalesce(by("property"), by("name"))
 
 
+def ld_objects(html: Column) -> Column:
+    """array<variant> of the objects of a page's JSON-LD: those of each block, of lists, and of two levels of '@graph'; bad JSON is passed over."""
+    blocks = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
+    parsed = F.filter(F.transform(blocks, F.try_parse_json), lambda v: v.isNotNull())
+    none = F.array().cast("array<variant>")
+    listed = F.flatten(F.transform(parsed, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))))
+    graph = lambda objects: F.flatten(F.transform(objects, lambda v: F.concat(F.array(v), F.coalesce(F.try_variant_get(v, "$.@graph", "array<variant>"), none))))
+    return F.filter(graph(graph(listed)), lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+
+
+def _first(objects: Column, value) -> Column:
+    """The first value that an object gives."""
+    return F.get(F.filter(F.transform(objects, value), lambda x: x.isNotNull()), F.lit(0))
+
+
+def _field(v: Column, *paths: str) -> Column:
+    return F.coalesce(*[F.nullif(F.trim(F.try_variant_get(v, p, "string")), F.lit("")) for p in paths])
+
+
+def text_between(html: Column, pattern: str) -> Column:
+    """The text of the first match without tags; null if it is blank."""
+    bare = F.regexp_replace(F.regexp_extract(html, pattern, 1), r"(?s)<[^>]*>", " ")
+    return F.nullif(F.trim(F.regexp_replace(bare, r"(?U)\s+", " ")), F.lit(""))
+
+
 def scan_pages(pages: DataFrame) -> DataFrame:
-    """Episodes of page HTML: each field from JSON-LD, then meta tags; pages without audio are left out."""
-    blocks = F.regexp_extract_all("html", F.lit(r'(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'), F.lit(1))
-    parsed = F.filter(F.transform(blocks, F.try_parse_json), lambda v: v.isNotNull() & (F.try_variant_get(v, "$.@type", "string") == "PodcastEpisode"))
-    p = pages.withColumn("ld", F.try_element_at(parsed, F.lit(1)))
-    ld = lambda path: F.nullif(F.trim(F.try_variant_get("ld", path, "string")), F.lit(""))
-    audio = F.coalesce(ld("$.associatedMedia.contentUrl"), F.when(looks_like_audio(ld("$.url")), ld("$.url")), ld("$.contentUrl"), meta(F.col("html"), "og:audio"))
+    """Episodes of page HTML (``url, html``): each field from JSON-LD, then meta tags, then the page itself; pages without audio are left out.
+
+    The episode is the first object of type PodcastEpisode; the date is its own, or the first of any object.
+    """
+    html = F.col("html")
+    p = pages.withColumn("__o", ld_objects(html)).withColumn("__e", F.get(F.filter("__o", lambda v: F.try_variant_get(v, "$.@type", "string") == "PodcastEpisode"), F.lit(0)))
+    ld = lambda *paths: _field(F.col("__e"), *paths)
+    heard = lambda v: F.coalesce(*[F.when(looks_like_audio(_field(v, x)), _field(v, x)) for x in ("$.associatedMedia.contentUrl", "$.associatedMedia.url", "$.audio", "$.contentUrl", "$.url")])
+    day = lambda v: publication_day(_field(v, "$.datePublished", "$.dateCreated", "$.pubDate"))
+    graph = F.when(F.col("__e").isNotNull(), F.concat(F.array("__e"), F.coalesce(F.try_variant_get("__e", "$.@graph", "array<variant>"), F.array().cast("array<variant>"))))
+    title = F.coalesce(ld("$.name"), meta(html, "og:title"), text_between(html, r"(?is)<title[^>]*>(.*?)</title>"))
+    notes = text_between(html, r'(?is)<(?:div|section|article|p)[^>]*class=["\'][^"\']*(?:show.?notes|description|content)[^"\']*["\'][^>]*>(.*?)</(?:div|section|article|p)>')
     return p.select(
-        episode_id_of(F.col("url")).alias("episode_id"), "url", F.coalesce(ld("$.name"), meta(F.col("html"), "og:title")).alias("title"),
-        F.coalesce(ld("$.partOfSeries.name"), podcast_of(meta(F.col("html"), "og:title"), meta(F.col("html"), "og:site_name"))).alias("podcast_name"),
-        publication_day(ld("$.datePublished")).alias("pub_date"), F.coalesce(ld("$.description"), meta(F.col("html"), "og:description")).alias("show_notes"), audio.alias("audio_url"), meta(F.col("html"), "og:image").alias("cover_url"),
-    ).where("audio_url is not null")
+        episode_id_of(F.col("url")).alias("episode_id"), "url", title.alias("title"),
+        F.coalesce(ld("$.partOfSeries.name"), meta(html, "og:site_name"), podcast_of(title, F.lit(None).cast("string"))).alias("podcast_name"),
+        F.coalesce(day(F.col("__e")), _first(F.col("__o"), day)).alias("pub_date"), F.coalesce(ld("$.description"), meta(html, "og:description"), notes).alias("show_notes"),
+        F.coalesce(_first(graph, heard), meta(html, "og:audio")).alias("audio_url"), meta(html, "og:image").alias("cover_url"),
+    ).where("audio_url is not null and episode_id is not null")
 
 
 def parse_packages(packages: DataFrame, key: str = "path", text: str = "text") -> DataFrame:

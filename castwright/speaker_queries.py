@@ -218,3 +218,34 @@ def e13_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """Transcripts through a stand-in for a cleaning model that loses its third chunks."""
     t = table(spark, d, "transcripts").groupBy("episode_id").agg(F.min("raw_text").alias("raw_text"))
     return adapters.clean_transcripts(t, adapters.fake_cleaner({"嗯": "", "um ": ""}, (2,)), 2000)
+
+
+@query("m7_sweeps")
+def m7_sweeps(spark: SparkSession, d: str) -> DataFrame:
+    """Silhouette and least share of each episode's clips for each K."""
+    return clusters.sweep(_clips(spark, d), "episode").select("episode", "k", F.round("silhouette", 6).alias("silhouette"), F.round("min_share", 6).alias("min_share"))
+
+
+@query(
+    "a15_usable_clips",
+    f"with {_VEC}, c as (select a.episode, a.vec_id, avg({_COS}) as m from u a join u b on a.episode = b.episode and a.vec_id <> b.vec_id group by 1, 2), t as (select episode, max(m) as top from c group by 1) select c.episode, vec_id, round(m, 6) as m from c join t on c.episode = t.episode where m >= 0.5 * top",
+)
+def a15_usable_clips(spark: SparkSession, d: str) -> DataFrame:
+    """Clips whose mean similarity is at least half of the best of their episode."""
+    c = aggregates.mean_similarity(_clips(spark, d).drop("label").withColumnRenamed("episode", "label")).withColumnRenamed("label", "episode")
+    top = c.groupBy("episode").agg(F.max("centrality").alias("top"))
+    return c.join(top, "episode").where("centrality >= 0.5 * top").select("episode", "vec_id", F.round("centrality", 6).alias("m"))
+
+
+@query("t9_refreshed_speakers", "with s as (select distinct episode_id, seg_no from segments where episode_id is not null and seg_no is not null) select episode_id, count(*) as n from s group by 1")
+def t9_refreshed_speakers(spark: SparkSession, d: str) -> DataFrame:
+    """Stored segments get the speakers of a new diarization; every segment keeps a place."""
+    return joins.overlap_speaker(table(spark, d, "segments"), table(spark, d, "diar_segments")).groupBy("episode_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j14_package_maps", "with m as (select episode_id, min(run_no) as r from struct_out where speaker_mapping is not null group by 1), n as (select distinct s.episode_id, cardinality(speaker_mapping) as n from struct_out s join m on s.episode_id = m.episode_id and s.run_no = m.r) select t.episode_id, cast(coalesce(n, 0) as bigint) as n from (select distinct episode_id from transcripts) t left join n on t.episode_id = n.episode_id")
+def j14_package_maps(spark: SparkSession, d: str) -> DataFrame:
+    """Packages with the mapping of their name, an empty one if there is none."""
+    m = table(spark, d, "struct_out").where("speaker_mapping is not null").groupBy("episode_id").agg(F.min_by("speaker_mapping", "run_no").alias("m"))
+    t = table(spark, d, "transcripts").select("episode_id").distinct().join(m, "episode_id", "left")
+    return t.select("episode_id", F.size(F.coalesce("m", F.create_map().cast("map<string,string>"))).cast("bigint").alias("n"))

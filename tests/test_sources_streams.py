@@ -9,7 +9,7 @@ from castwright.operators import joins, speakers
 from castwright.operators.aggregates import collapsed_clusters, representative_clips
 from castwright.operators.chunks import pack_lines, uniform_sample
 from castwright.operators.clusters import greedy_labels, medoid_labels
-from castwright.plans import cache, documents
+from castwright.plans import cache, handoff, render
 from castwright.sources import audio, pages
 from castwright.streaming import turns
 
@@ -37,12 +37,12 @@ def test_clips(spark):
 
 
 def test_resolution(spark):
-    seg = spark.createDataFrame([("e", "S0", "我是湫湫。"), ("e", "S0", "欢迎收听"), ("e", "S1", "我是小朱，你好"), ("e", "S2", "我是小朱。"), ("e", "S3", "我是湫湫。我是小朱。"), ("e", "S4", "嗯"), ("e", None, "我是谁")], "episode_id string, speaker string, text string")
+    seg = spark.createDataFrame([("e", "S0", "我是湫湫。"), ("e", "S0", "今天邀请"), ("e", "S1", "我是小朱，你好"), ("e", "S2", "我是小朱。"), ("e", "S3", "我是湫湫。我是小朱。"), ("e", "S4", "嗯"), ("e", None, "我是谁")], "episode_id string, speaker string, text string")
     notes = spark.createDataFrame([("e", "主播：湫湫\n嘉宾：小朱（作者）\n别的")], "episode_id string, n string")
-    roster = notes.select("episode_id", F.explode(speakers.roster_of(F.col("n"))).alias("r")).select("episode_id", "r.*")
+    roster = notes.select("episode_id", F.posexplode(speakers.roster_of(F.col("n"))).alias("ord", "r")).select("episode_id", "ord", "r.*")
     assert {(r.role, r.name) for r in roster.collect()} == {("主播", "湫湫"), ("嘉宾", "小朱")}
     got = {(r.speaker, r.name, r.issue) for r in speakers.resolve_speakers(speakers.cluster_signals(seg), roster).collect()}
-    assert got == {("S0", "湫湫", None), ("S1", "小朱", None), ("S2", None, "unreliable"), ("S3", None, "several"), ("S4", None, "unreliable")}
+    assert got == {("S0", "主播湫湫", None), ("S1", "嘉宾小朱", None), ("S2", None, "taken"), ("S3", None, "several"), ("S4", None, "unreliable")}
 
 
 def test_clusters():
@@ -57,7 +57,7 @@ def test_clusters():
 
 def test_chunks_and_samples(spark):
     df = spark.createDataFrame([("ab\ncd\n" + "x" * 7,), (None,), ("",)], "t string").select(pack_lines(F.col("t"), 5).alias("c"))
-    assert [r.c for r in df.collect()] == [["ab\ncd", "xxxxx\nxx"[:5], "xx"], None, []]
+    assert [r.c for r in df.collect()] == [["ab", "cd", "xxxxx", "xx"], None, [""]]
     for n, ratio in ((1, 0.1), (7, 0.5), (10, 0.33), (9, 1.0)):
         k = max(1, int(n * ratio))
         got = sorted(r.id for r in uniform_sample(spark.range(n).withColumn("g", F.lit(1)), "g", "id", ratio).collect())
@@ -66,14 +66,14 @@ def test_chunks_and_samples(spark):
 
 def test_payload(spark):
     rows = [("a", '{"summary": " s ", "key_points": [{"point": "p", "quote": 1}, 3, {"point": " "}], "keywords": [{"keyword": "k"}]}'), ("b", "{bad"), ("c", None), ("d", '{"key_points": "x"}')]
-    got = {r.k: r for r in documents.parse_payload(spark.createDataFrame(rows, "k string, raw string"), "k", "raw").collect()}
+    got = {r.k: r for r in handoff.parse_payload(spark.createDataFrame(rows, "k string, raw string"), "k", "raw").collect()}
     assert got["a"].summary == "s" and [(p.point, p.quote) for p in got["a"].points] == [("p", "1")] and got["a"].keywords[0].keyword == "k"
     assert all(got[k].points == [] and got[k].summary == "" for k in "bcd")
 
 
 def test_merge_blocks(spark):
     df = spark.createDataFrame([("【甲】没标点\n【甲】接着说，",), ("【甲】好。\n\n【乙】嗯\n\n无标签",)], "t string")
-    assert [r.r for r in df.select(documents.merge_blocks(F.col("t")).alias("r")).collect()] == ["【甲】没标点。接着说。", "【甲】好。\n\n【乙】嗯。无标签"]
+    assert [r.r for r in df.select(render.merge_blocks(F.col("t")).alias("r")).collect()] == ["【甲】没标点。接着说。", "【甲】好。\n\n【乙】嗯。无标签"]
 
 
 def test_pages_and_packages(spark, tmp_path):
@@ -86,6 +86,13 @@ def test_pages_and_packages(spark, tmp_path):
     assert pages.read_texts(spark, str(tmp_path), "*.txt").first().stem == "ep" and parsed.first().source == "P | T | D"
 
 
+def test_pages_fall_back(spark):
+    ld = lambda x: f'<script type="application/ld+json">{x}</script>'
+    html = ld("{bad") + ld('[{"@type": "Thing", "dateCreated": "2026-02-03"}, {"@type": "PodcastEpisode", "@graph": [{"url": "https://media.xyzcdn.net/x"}]}]') + "<title> Ein <b>Titel</b> - Show </title><div class='my show-notes'>text <i>here</i></div>"
+    row = pages.scan_pages(spark.createDataFrame([("https://x/episode/q1", html)], "url string, html string")).first()
+    assert (row.title, row.podcast_name, row.pub_date, row.show_notes, row.audio_url) == ("Ein Titel - Show", "Show", "2026-02-03", "text here", "https://media.xyzcdn.net/x")
+
+
 def test_wav(spark, tmp_path):
     buffer = io.BytesIO()
     with wave.open(buffer, "wb") as w:
@@ -129,3 +136,22 @@ def test_stream_of_runs(spark, tmp_path):
     spark.createDataFrame(rows[3:], turns.SEGMENTS).coalesce(1).write.mode("append").parquet(src)
     run()
     assert sorted(got) == [("A", 0, 2), ("B", 3, 4)]
+
+
+def test_joins_with_very_long_intervals(spark):
+    import random
+
+    r = random.Random(8)
+    span = lambda: (a := r.randrange(0, 3_000_000), a + r.choice([r.randrange(1, 5000), r.randrange(1, 400_000), 90_000_000]))
+    seg = [("e", i, *span()) for i in range(60)]
+    dia = [("e", i, *span(), f"S{i % 4}") for i in range(60)]
+    df = spark.createDataFrame(seg, "episode_id string, seg_no int, start_ms bigint, end_ms bigint")
+    got = {x.seg_no: (x.speaker, x.overlap_ms) for x in joins.overlap_speaker(df, spark.createDataFrame(dia, "episode_id string, dseg_no int, start_ms bigint, end_ms bigint, speaker string")).collect()}
+    want = {}
+    for _, n, s, e in seg:
+        best = min(((-(min(e, y) - max(s, x)), x, y, k) for _, _, x, y, k in dia if x < e and s < y), default=(0, 0, 0, "UNKNOWN"))
+        want[n] = (best[3], -best[0])
+    assert got == want
+    points = spark.createDataFrame([("e", t * 97_001) for t in range(40)], "episode_id string, at_ms bigint")
+    hits = {(x.at_ms, x.seg_no) for x in joins.points_in_intervals(points, df).collect()}
+    assert hits == {(t * 97_001, n) for t in range(40) for _, n, s, e in seg if s <= t * 97_001 < e}
