@@ -147,13 +147,15 @@ def _han_lines(text: str) -> Callable[[int], tuple[str, bool]]:
     return lambda at: (line := lines[bisect.bisect_right(starts, at) - 1], bool(re.search(f"[{HAN}]", line)))
 
 
+_GOES_ON = re.compile(r"[A-Za-z0-9]|\s+[A-Za-z]")
+_BEHIND = re.compile(rf"[ \t]*([{HAN}]|\n|\Z)?")
+
+
 def latin_changes(text: str) -> Iterator[tuple[int, int, str]]:
     """Half-width marks behind a Latin word in a line with Han, unless Latin goes on behind them or they end an abbreviation."""
     line_at = None
     for m in re.finditer(r"[A-Za-z]\*{0,2}([,.?!])", text):
-        rest = text[m.end() :][:200]
-        goes_on = re.match(r"[A-Za-z0-9]|\s+[A-Za-z]", rest)
-        if goes_on or text[max(0, m.end() - 8) : m.end()].endswith(ABBREVIATIONS):
+        if _GOES_ON.match(text, m.end()) or text[max(0, m.end() - 8) : m.end()].endswith(ABBREVIATIONS):
             continue
         line_at = line_at or _han_lines(text)
         if line_at(m.start(1))[1]:
@@ -167,7 +169,7 @@ def han_changes(text: str) -> Iterator[tuple[int, int, str]]:
         if not m[1]:
             yield m.start(), m.end(), "……"
             continue
-        behind = re.match(rf"[ \t]*([{HAN}]|\n|\Z)?", text[m.end() :])[1]
+        behind = _BEHIND.match(text, m.end())[1]
         if behind in ("", "\n"):
             line_at = line_at or _han_lines(text)
             line = line_at(m.start(1))[0]

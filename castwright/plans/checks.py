@@ -82,7 +82,8 @@ def chopped_lines(transcript: str | None) -> int:
     """Turns with three sentences of at most twelve characters in a row that end in a period."""
     n = 0
     for body in re.findall(r"(?m)^【[^】]*】\s*(.*)$", transcript or ""):
-        marks = "".join("s" if mark == "。" and 0 < len(re.sub(r"\s", "", s)) <= 12 else "-" for s, mark in re.findall(r"([^。？！]*)([。？！])", body))
+        parts = re.split("([。？！])", body)
+        marks = "".join("s" if mark == "。" and 0 < len(re.sub(r"\s", "", s)) <= 12 else "-" for s, mark in zip(parts[::2], parts[1::2]))
         n += "sss" in marks
     return n
 
@@ -172,7 +173,8 @@ def check_documents(docs: DataFrame, key: str = "episode_id", md: str = "md", so
             rules["V29"] = flag((F.coalesce(F.col(source), F.lit("")) != "") & (t != "") & (retention(t, F.col(source)) < 0.5))
     chosen = rules if only is None else {c: rules[c] for c in only}
     failed = F.filter(F.array(*[F.struct(F.lit(c).alias("check"), n.cast("bigint").alias("n_hits")) for c, n in chosen.items()]), lambda x: x["n_hits"] > 0)
-    return d.select(key, F.explode(failed).alias("x")).select(key, "x.*")
+    # The outer form, since a filter inferred from the inner one would evaluate all checks a second time.
+    return d.select(key, F.explode_outer(failed).alias("x")).where("x is not null").select(key, "x.*")
 
 
 def package_body(package: Column) -> Column:
